@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from medwarden import schemas
 from medwarden.functions.text import count_words, keep_words, phrases, tokens
 from medwarden.operators.enrichment import Model, apply_model
+from medwarden.operators.skew import lookup_join
 from medwarden.sources.files import not_yet_in
 
 CALL_KEY = ["file_path", "file_name"]
@@ -407,16 +408,16 @@ def extract_adverse_events(
             F.lit(None).cast("string").alias("soc"),
         )
     )
-    # Distinct phrases of a turn: a word repeated in a turn makes one row. The lexicon is joined
-    # without a hint, so it is broadcast only when its measured size allows.
+    # Distinct phrases of a turn: a word repeated in a turn makes one row. explode_outer, because
+    # for explode the optimizer adds a filter that would split each text again.
+    grams = worded.select(
+        *key,
+        "turn",
+        "text",
+        F.explode_outer(F.array_distinct(phrases(F.col("_words"), max_words))).alias("phrase"),
+    )
     mentions = (
-        worded.select(
-            *key,
-            "turn",
-            "text",
-            F.explode(F.array_distinct(phrases(F.col("_words"), max_words))).alias("phrase"),
-        )
-        .join(lexicon, "phrase")
+        lookup_join(grams, lexicon, "phrase")
         .groupBy(*key, "kind", "name")
         .agg(
             F.min(F.struct("turn", "text")).alias("first"),

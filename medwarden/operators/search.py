@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from medwarden.functions.numbers import count_where
 from medwarden.functions.text import contains_ci, count_words, query_terms, shorten, tokens
-from medwarden.operators.skew import salted_join
+from medwarden.operators.skew import lookup_join, salted_join
 
 K1 = 1.2
 B = 0.75
@@ -75,21 +76,24 @@ def keyword_search(
     rows = corpus.filter(may_match)
     for column, value in (filters or {}).items():
         rows = rows.filter(F.col(column) == value)
+    counts = {f"_tf{i}": count_words(F.col("_words"), [t]) for i, t in enumerate(terms)}
     score = F.lit(0.0)
-    for i, term in enumerate(terms):
+    for i, name in enumerate(counts):
         weight = _idf(F.col("_stats.n"), F.col(f"_stats.df{i}"))
-        tf = count_words(F.col("_words"), [term])
         score = score + weight * _saturated(
-            tf, F.size("_words"), F.col("_stats.mean_length")
+            F.col(name), F.col("_length"), F.col("_stats.mean_length")
         )
+    # Rows without a hit are dropped after the limit: they sort last anyway, and a filter below
+    # would be pushed down and split the texts again.
     return (
         rows.withColumn("_words", tokens(text))
+        .withColumns({"_length": F.size("_words"), **counts})
         .withColumn("_stats", stats.select(F.struct("*")).scalar())
         .withColumn("score", F.round(score, 6))
-        .filter(F.col("score") > 0)
         .select(*dict.fromkeys([*cols, *tie_break]), "score")
         .orderBy(F.desc("score"), *tie_break)
         .limit(limit)
+        .filter(F.col("score") > 0)
     )
 
 
@@ -178,8 +182,8 @@ def search_batch(
         queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     )
     vocabulary = asked.select("term").distinct()
-    docs = corpus.select(key, tokens(F.col(text_col)).alias("_words")).filter(
-        F.col("_words").isNotNull()
+    docs = corpus.filter(F.col(text_col).isNotNull()).select(
+        key, tokens(F.col(text_col)).alias("_words")
     )
     stats = docs.agg(
         F.struct(
@@ -187,13 +191,17 @@ def search_batch(
             F.avg(F.size("_words").cast("double")).alias("mean_length"),
         )
     ).scalar()
+    # explode_outer: for explode the optimizer adds a filter that would split each text again.
+    words = docs.select(
+        key, F.size("_words").alias("length"), F.explode_outer("_words").alias("term")
+    )
     postings = (
-        docs.select(key, F.size("_words").alias("length"), F.explode("_words").alias("term"))
-        .join(vocabulary, "term", "left_semi")
+        lookup_join(words, vocabulary, "term")
         .groupBy(key, "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counting over tf keeps this branch identical to the scored one: postings are built once.
+    frequency = postings.groupBy("term").agg(count_where(F.col("tf") > 0).alias("df"))
     weighted = asked.join(frequency, "term")
     part = _idf(F.col("_stats.n"), F.col("df")) * _saturated(
         F.col("tf"), F.col("length"), F.col("_stats.mean_length")

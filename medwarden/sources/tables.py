@@ -87,7 +87,9 @@ _PAYLOAD_TYPE = "array<struct<" + ", ".join(f"{f.name}: string" for f in _PAYLOA
 
 def _parsed(payload: Column) -> Column:
     """The payload as an array of all-string records; NULL unless it is a valid JSON array."""
-    return F.try_variant_get(F.try_parse_json(payload), "$", _PAYLOAD_TYPE)
+    whole = F.trim(payload)
+    is_array = whole.startswith("[") & whole.endswith("]")
+    return F.when(is_array, F.from_json(payload, _PAYLOAD_TYPE))
 
 
 def ingest_json_batches(df: DataFrame, payload_col: str) -> DataFrame:
@@ -95,8 +97,9 @@ def ingest_json_batches(df: DataFrame, payload_col: str) -> DataFrame:
 
     A value that does not fit its column type fails the job, as a cast does.
     """
-    records = df.select(F.explode(_parsed(F.col(payload_col))).alias("r"))
-    return records.select(
+    # explode_outer: for explode the optimizer adds a filter that would parse each payload again.
+    records = df.select(F.explode_outer(_parsed(F.col(payload_col))).alias("r"))
+    return records.filter(F.col("r").isNotNull()).select(
         *[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in _PAYLOAD_FIELDS]
     )
 
@@ -107,9 +110,9 @@ def rejected_batches(df: DataFrame, payload_col: str) -> DataFrame:
     reason = (
         F.when(payload.isNull(), "missing")
         .when(F.try_parse_json(payload).isNull(), "invalid json")
-        .when(_parsed(payload).isNull(), "not an array of records")
+        .otherwise("not an array of records")
     )
-    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return df.filter(_parsed(payload).isNull()).withColumn("reason", reason)
 
 
 # --- sinks --------------------------------------------------------------------------------
