@@ -9,10 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medwarden.sources.tables import spread
+
+
+# Tables that are transformed row by row, and come as a single row group each.
+_SPREAD = {"lineitem", "orders", "documents", "conversations", "events", "embeddings"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in _SPREAD else rows
 
 
 _ONSET = "case when l_shipdate >= o_orderdate then cast(l_shipdate as date) end"
