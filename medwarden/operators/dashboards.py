@@ -68,8 +68,10 @@ def drug_severity(fact: DataFrame, top: int = 10) -> DataFrame:
         .orderBy(F.desc("total"), "drug_name")
         .limit(top)
     )
-    # ``top`` rows.
-    return counts.join(F.broadcast(leaders.select("drug_name")), "drug_name", "left_semi")
+    # ``top`` rows. Null-safe, so that both sides keep the same shuffle of the counts.
+    leaders = leaders.select(F.col("drug_name").alias("_leader"))
+    same = F.col("drug_name").eqNullSafe(F.col("_leader"))
+    return counts.join(F.broadcast(leaders), same, "left_semi")
 
 
 def drug_severity_matrix(

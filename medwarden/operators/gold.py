@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medwarden.functions.numbers import count_where, is_value, percent
-from medwarden.operators.skew import salted_join
+from medwarden.operators.skew import hot_keys, salted_join
 
 PATIENT_KEY = ["patient_id"]
 DRUG_KEY = ["drug_name", "drug_dose", "drug_route"]
@@ -28,7 +28,10 @@ def analytics_view(
     patient = patients.select(*PATIENT_KEY, "patient_age", "patient_sex")
     drug = drugs.select(*DRUG_KEY, "indication")
     rows = salted_join(fact, patient, PATIENT_KEY, "left")
-    rows = salted_join(rows, drug, DRUG_KEY, "left", spread_by=fact.columns)
+    # The drug key comes from the fact: its hot keys are found there, not in the joined rows.
+    rows = salted_join(
+        rows, drug, DRUG_KEY, "left", spread_by=fact.columns, hot=hot_keys(fact, DRUG_KEY)
+    )
     return rows.select(*fact.columns, "patient_age", "patient_sex", "indication")
 
 

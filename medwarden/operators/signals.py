@@ -12,31 +12,35 @@ from pyspark.sql import functions as F
 from medwarden.functions.numbers import ratio
 
 
-def _with_totals(pairs: DataFrame, drug: str, event: str) -> DataFrame:
-    """Pairs (drug, event, n, ...) plus drug_total, event_total and grand_total.
+def _with_totals(
+    cells: DataFrame, drug: str, event: str, extra: Column | None = None
+) -> DataFrame:
+    """Pairs with n, drug_total, event_total and grand_total (and ``extra``, an aggregate).
 
-    Joins are null-safe, which also keeps their inputs identical, so the exchange of the pair
-    aggregation is computed once and reused. ``keyed`` is an aggregate for the same reason: a
-    plain null filter would be pushed below one of the branches.
+    ``cells`` are counts ``n`` per drug, event and perhaps more. All four sums come from it, and
+    its shuffle is done once and reused: null-safe joins keep the branches identical, and the
+    last filter reads both join sides, so it cannot be pushed into one of them.
     """
-    by_drug = pairs.groupBy(F.col(drug).alias("_drug")).agg(F.sum("n").alias("drug_total"))
-    by_event = pairs.groupBy(F.col(event).alias("_event")).agg(F.sum("n").alias("event_total"))
-    grand = pairs.agg(F.sum("n")).scalar()
+    pairs = cells
+    if extra is not None:
+        pairs = cells.groupBy(drug, event).agg(F.sum("n").alias("n"), extra)
+    by_drug = cells.groupBy(F.col(drug).alias("_drug")).agg(F.sum("n").alias("drug_total"))
+    by_event = cells.groupBy(F.col(event).alias("_event")).agg(F.sum("n").alias("event_total"))
+    grand = cells.agg(F.sum("n")).scalar()
+    named = F.when(F.col("drug_total") > 0, F.col(drug)).isNotNull() & F.when(
+        F.col("event_total") > 0, F.col(event)
+    ).isNotNull()
     return (
         pairs.join(by_drug, F.col(drug).eqNullSafe(F.col("_drug")))
         .join(by_event, F.col(event).eqNullSafe(F.col("_event")))
+        .filter(named)
         .withColumn("grand_total", grand)
-        .filter(F.col("keyed"))
-        .drop("_drug", "_event", "keyed")
+        .drop("_drug", "_event")
     )
 
 
-def _keyed(drug: str, event: str) -> Column:
-    return F.max(F.col(drug).isNotNull() & F.col(event).isNotNull()).alias("keyed")
-
-
-def _pairs(fact: DataFrame, drug: str, event: str) -> DataFrame:
-    return fact.groupBy(drug, event).agg(F.count(F.lit(1)).alias("n"), _keyed(drug, event))
+def _cells(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def exceeds(value: Column, threshold: float, inclusive: bool) -> Column:
@@ -52,7 +56,7 @@ def relative_rates(
 
     Reports without an event class count in the totals but make no pair.
     """
-    rows = _with_totals(_pairs(fact, drug, event), drug, event)
+    rows = _with_totals(_cells(fact, drug, event), drug, event)
     expected = ratio(F.col("event_total"), F.col("grand_total"))
     rate = ratio(F.col("n"), F.col("drug_total")) / F.nullif(expected, F.lit(0.0))
     return rows.select(
@@ -82,24 +86,26 @@ def flag_baseline(rates: DataFrame, factor: float = 2.0, inclusive: bool = False
 
 
 def _prr(
-    pairs: DataFrame,
+    cells: DataFrame,
     drug: str,
     event: str,
     threshold: float,
     min_cases: int,
     inclusive: bool,
     digits: int,
-    extra: list[str],
+    extra: Column | None = None,
+    extra_name: str | None = None,
 ) -> DataFrame:
     a = F.col("n")
-    table = _with_totals(pairs, drug, event).select(
+    kept = [extra_name] if extra_name else []
+    table = _with_totals(cells, drug, event, extra).select(
         drug,
         event,
         a.alias("a"),
         (F.col("drug_total") - a).alias("b"),
         (F.col("event_total") - a).alias("c"),
         (F.col("grand_total") - F.col("drug_total") - F.col("event_total") + a).alias("d"),
-        *extra,
+        *kept,
     )
     within = ratio(F.col("a"), F.col("a") + F.col("b"))
     others = ratio(F.col("c"), F.col("c") + F.col("d"))
@@ -114,7 +120,7 @@ def _prr(
         "d",
         F.round(value, digits).alias("prr"),
         flagged.alias("is_signal"),
-        *extra,
+        *kept,
     )
 
 
@@ -132,8 +138,8 @@ def signal_prr(
     It is NULL, and no signal, where the event occurs with no other drug. The flag uses the
     unrounded ratio.
     """
-    pairs = _pairs(fact, drug, event)
-    return _prr(pairs, drug, event, threshold, min_cases, inclusive, digits, [])
+    cells = _cells(fact, drug, event)
+    return _prr(cells, drug, event, threshold, min_cases, inclusive, digits)
 
 
 # --- several sources ----------------------------------------------------------------------
@@ -188,10 +194,10 @@ def unified_prr(
     rows = unified_records({"FAERS": fact, "CALL_CENTER": calls}, soc_map)
     # One element per source name.
     sources = F.array_join(F.array_sort(F.collect_set("data_source")), ", ").alias("sources")
-    pairs = rows.groupBy(drug, event).agg(
-        F.count(F.lit(1)).alias("n"), _keyed(drug, event), sources
+    cells = _cells(rows, drug, event, "data_source")
+    return _prr(
+        cells, drug, event, threshold, min_cases, inclusive, digits, sources, "sources"
     )
-    return _prr(pairs, drug, event, threshold, min_cases, inclusive, digits, ["sources"])
 
 
 def unified_sources(counts: DataFrame) -> DataFrame:

@@ -60,13 +60,16 @@ def salted_join(
     hot_side: str = "left",
     spread_by: list[str] | None = None,
     salts: int = SALTS,
-    share: float = HOT_SHARE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join on same-named columns that splits hot keys of ``hot_side`` over ``salts`` tasks.
 
     Rows of a hot key get a salt from a hash of ``spread_by`` (default: all columns of that side),
     which a recomputed task reproduces; the matching rows of the other side are repeated once per
     salt. Cold keys have one salt and no copies. Gives the rows of a plain join.
+
+    ``hot`` is the result of ``hot_keys`` where the keys are known from a cheaper frame than the
+    hot side itself, for example one that was joined already.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
@@ -74,7 +77,7 @@ def salted_join(
         raise ValueError("hot_side must be left or right")
     big, other = (left, right) if hot_side == "left" else (right, left)
     # Bounded by 1/share rows, see above.
-    hot = F.broadcast(hot_keys(big, on, share))
+    hot = F.broadcast(hot_keys(big, on) if hot is None else hot)
     spread = spread_by or big.columns
 
     def mark(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ are foreign keys, so leaving out a join never changes the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medwarden.sources.tables import spread
@@ -74,28 +74,20 @@ def ae_reports(
     def load(name: str) -> DataFrame:
         return table(spark, sf_dir, name)
 
-    nation = load("nation")
-    joins: list[tuple[str, DataFrame, Column]] = [
-        ("part", load("part"), F.col("l_partkey") == F.col("p_partkey")),
-        ("orders", load("orders"), F.col("l_orderkey") == F.col("o_orderkey")),
-        ("customer", load("customer"), F.col("o_custkey") == F.col("c_custkey")),
-        (
-            "customer_nation",
-            nation.alias("cn"),
-            F.col("c_nationkey") == F.col("cn.n_nationkey"),
-        ),
-        ("supplier", load("supplier"), F.col("l_suppkey") == F.col("s_suppkey")),
-        (
-            "supplier_nation",
-            nation.alias("sn"),
-            F.col("s_nationkey") == F.col("sn.n_nationkey"),
-        ),
-        ("region", load("region"), F.col("sn.n_regionkey") == F.col("r_regionkey")),
-    ]
+    # name -> (table, alias, join condition), in join order
+    joins = {
+        "part": ("part", "pt", "l_partkey = p_partkey"),
+        "orders": ("orders", "o", "l_orderkey = o_orderkey"),
+        "customer": ("customer", "c", "o_custkey = c_custkey"),
+        "customer_nation": ("nation", "cn", "c_nationkey = cn.n_nationkey"),
+        "supplier": ("supplier", "s", "l_suppkey = s_suppkey"),
+        "supplier_nation": ("nation", "sn", "s_nationkey = sn.n_nationkey"),
+        "region": ("region", "r", "sn.n_regionkey = r_regionkey"),
+    }
     rows = load("lineitem")
-    for name, frame, condition in joins:
+    for name, (source, alias, condition) in joins.items():
         if name in needed:
-            rows = rows.join(frame, condition)
+            rows = rows.join(load(source).alias(alias), F.expr(condition))
     return rows.select(*[F.expr(REPORT_COLUMNS[c][0]).alias(c) for c in wanted])
 
 
