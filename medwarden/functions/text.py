@@ -49,7 +49,8 @@ def phrases(words: Column, max_words: int) -> Column:
 def contains_ci(column: Column, text: str, wildcards: bool = False) -> Column:
     """Case-insensitive substring test; ``wildcards`` lets % and _ in ``text`` act as in LIKE."""
     if wildcards:
-        return F.lower(column).like(F.lower(F.lit(f"%{text}%")))
+        pattern = "%" + text.replace("\\", "\\\\") + "%"
+        return F.like(F.lower(column), F.lower(F.lit(pattern)))
     return F.lower(column).contains(F.lower(F.lit(text)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +82,13 @@ def salted_join(
     hot = F.broadcast(hot_keys(big, on) if hot is None else hot)
     spread = spread_by or big.columns
 
+    # On the repeated side a NULL key must stay single: its copies would all be without a match.
+    text = _key_text(on)
+    if hot_side == "right":
+        text = F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on]), text)
+
     def mark(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key", _key_text(on)).join(
+        return df.withColumn("_key", text).join(
             hot, F.col("_key") == F.col("_hot"), "left"
         )
 
