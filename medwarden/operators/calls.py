@@ -96,7 +96,8 @@ def transcribe_increment(
         .limit(limit)
         .select("file_path")
     )
-    return assemble_transcripts(turns.join(batch, "file_path", "left_semi"))
+    # ``limit`` rows.
+    return assemble_transcripts(turns.join(F.broadcast(batch), "file_path", "left_semi"))
 
 
 # --- call analysis ------------------------------------------------------------------------

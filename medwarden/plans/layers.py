@@ -38,6 +38,9 @@ class Layers:
 
 def _save_by_month(layers: Layers, df: DataFrame, name: str, date: str) -> DataFrame:
     dated = df.withColumn("report_month", F.trunc(F.col(date).cast("date"), "MM"))
+    # Brings the rows of a month together before writing, so that files are few; adaptive
+    # execution splits a month that is too large for one task.
+    dated = dated.hint("rebalance", "report_month")
     return layers.save(dated, "silver", name, ["report_month"]).drop("report_month")
 
 

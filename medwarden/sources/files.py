@@ -32,8 +32,12 @@ def file_catalog(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def not_yet_in(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in ``done``. NULL keys on either side match nothing."""
-    return rows.join(done.select(key), key, "left_anti")
+    """Rows whose key is not in ``done``. NULL keys on either side match nothing.
+
+    ``done`` is made distinct first, which combines map-side: a key with very many rows there
+    reaches the join once.
+    """
+    return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
 def catalog_increment(listing: DataFrame, catalog: DataFrame, limit: int = 10) -> DataFrame:

@@ -25,7 +25,7 @@ CALLS_LAG = "30 minutes"
 SEARCH_LAG = "1 hour"
 
 
-def _start(
+def start_stream(
     writer: DataStreamWriter,
     spark: SparkSession,
     name: str,
@@ -84,7 +84,7 @@ def refresh_stream(
     writer = (
         transform(source).writeStream.format("parquet").option("path", sink).outputMode("append")
     )
-    return _start(writer, source.sparkSession, name, lag, checkpoint)
+    return start_stream(writer, source.sparkSession, name, lag, checkpoint)
 
 
 def refresh_joined_stream(
@@ -103,7 +103,7 @@ def refresh_joined_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    return _start(
+    return start_stream(
         source.writeStream.foreachBatch(write), source.sparkSession, name, lag, checkpoint
     )
 
@@ -144,7 +144,7 @@ def refresh_distinct_stream(
             fresh = fresh.join(known, same, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    return _start(source.writeStream.foreachBatch(write), spark, name, lag, checkpoint)
+    return start_stream(source.writeStream.foreachBatch(write), spark, name, lag, checkpoint)
 
 
 def function_health_stream(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from medwarden.operators import health, search, silver
 from medwarden.session import checkpoint_root
 from medwarden.sources.tables import read_table, write_table
-from medwarden.streaming import refresh
+from medwarden.streaming import chain, refresh
 
 EVENTS = (
     "timestamp timestamp_ntz, function_name string, model_used string, latency_ms bigint, "
@@ -124,3 +124,33 @@ def test_search_corpus_stays_fresh(spark, place, rows, job):
         )
     got = read_table(spark, place("out"))
     assert rows(got, "case_id", "drug_name") == [("c1", "d"), ("c2", None)]
+
+
+def test_call_chain_equals_batch(spark, place, rows, job):
+    terms = spark.createDataFrame(
+        [("rash", "Rash", "Skin")], "phrase string, preferred_term string, soc_class string"
+    )
+    drugs = spark.createDataFrame([("zolina", "Zolina")], "phrase string, drug_name string")
+    schema = (
+        "file_path string, file_name string, received_at timestamp_ntz, turn bigint, "
+        "speaker_label string, text string"
+    )
+    day = dt.datetime(2024, 1, 1)
+    for call, text in (("c1", "zolina gave me a rash"), ("c2", "hello"), ("c3", "rash")):
+        turn = spark.createDataFrame(
+            [(f"in/{call}", call, day, 0, "caller", text), (f"in/{call}", call, day, 1, "agent", "bye")],
+            schema,
+        )
+        write_table(turn.coalesce(1), place("turns"), "append")
+        stream = refresh.table_stream(spark, place("turns"), turn.schema, max_files=1)
+        finish(
+            chain.refresh_calls(
+                stream, terms, drugs, place("out"), job, lag=None, checkpoint=place("chk")
+            )
+        )
+    got = rows(
+        read_table(spark, place("out/fact_ae_calls")), "source_call_id", "drug_name", "data_source"
+    )
+    assert got == [("c1", "Zolina", "CALL_CENTER"), ("c3", None, "CALL_CENTER")]
+    assert read_table(spark, place("out/transcriptions")).count() == 3
+    assert read_table(spark, place("out/fact_agent_compliance")).count() == 3
