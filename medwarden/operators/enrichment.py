@@ -148,21 +148,23 @@ def classify_terms(
     """
     if model is not None:
         return _model_column(df, model, term_col, schemas.CLASSIFICATION, out_col)
-    words = tokens(F.col(term_col))
+    all_words = [w for keywords in label_lexicon.values() for w in keywords]
     scored = [
         F.struct(
-            count_words(F.col("_tokens"), keywords).alias("hits"),
+            count_words(F.col("_hits"), keywords).alias("hits"),
             F.lit(-position).alias("order"),
             F.lit(label).alias("label"),
         )
         for position, (label, keywords) in enumerate(label_lexicon.items())
     ]
     hit = F.filter(F.array(*scored), lambda s: s["hits"] > 0)
-    labels = F.transform(F.sort_array(hit, asc=False), lambda s: s["label"])
+    ranked = F.transform(F.sort_array(hit, asc=False), lambda s: s["label"])
+    # Most texts have no or few words of the lexicon; labels are only ranked where there are some.
+    labels = F.when(F.size("_hits") > 0, ranked).otherwise(F.array().cast("array<string>"))
     return (
-        df.withColumn("_tokens", words)
+        df.withColumn("_hits", keep_words(tokens(F.col(term_col)), all_words))
         .withColumn(out_col, F.struct(labels.alias("labels")))
-        .drop("_tokens")
+        .drop("_hits")
     )
 
 
