@@ -144,6 +144,26 @@ def tag_columns(df: DataFrame, tags: Mapping[str, tuple[str, str]] = PATIENT_TAG
     return df
 
 
+def tag_detected(
+    df: DataFrame,
+    patterns: Mapping[str, tuple[str, str, str]] = SENSITIVE_PATTERNS,
+    min_rate: float = 0.8,
+    tag: str = "HIPAA_CATEGORY",
+) -> DataFrame:
+    """The frame with the proposed tags of ``classify_columns`` applied.
+
+    Runs the detection; its result has at most one row per column and category. Where a column
+    fits several categories, the tag value that is allowed first (the strictest) wins.
+    """
+    found = classify_columns(df, patterns, min_rate).select("column_name", "proposed_tag")
+    proposals: dict[str, list[str]] = {}
+    for row in found.collect():
+        proposals.setdefault(row.column_name, []).append(row.proposed_tag)
+    for column, values in proposals.items():
+        df = tag_column(df, column, tag, min(values, key=TAGS[tag].index))
+    return df
+
+
 def tag_references(df: DataFrame) -> DataFrame:
     """The tags of a frame as rows: column_name, tag_name, tag_value."""
     rows: Sequence[tuple[str, str, str]] = [

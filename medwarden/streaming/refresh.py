@@ -98,6 +98,8 @@ def refresh_joined_stream(
     """Like ``refresh_stream`` for transforms that read other tables or aggregate a batch.
 
     Each batch is a plain DataFrame for ``transform``; its result is one partition of the sink.
+    Rows already written do not change when the other tables do: rebuild the table for that
+    (``medwarden.plans.layers``).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

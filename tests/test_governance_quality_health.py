@@ -42,6 +42,15 @@ def test_tags(patients, rows):
         g.tag_column(patients, "patient_id", "HIPAA_CATEGORY", "SECRET")
 
 
+def test_detected_columns_get_the_strictest_tag(spark, rows):
+    df = spark.createDataFrame(
+        [("AB-1", dt.date(1960, 1, 2), 5)], "patient_id string, patient_dob date, n int"
+    )
+    assert rows(g.tag_references(g.tag_detected(df))) == [
+        ("patient_dob", "HIPAA_CATEGORY", "PHI"), ("patient_id", "HIPAA_CATEGORY", "PII"),
+    ]
+
+
 def test_detection_by_content_and_name(spark, rows):
     df = spark.createDataFrame(
         [("AB-1", "a@b.org", "x"), ("CD-2", "c@d.org", "y")], "code string, info string, dob string"

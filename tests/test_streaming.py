@@ -5,8 +5,10 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from medwarden.operators import health, search, silver
+from medwarden.operators import enrichment, health, search, silver
+from medwarden.schemas import AE_REPORTS
 from medwarden.session import checkpoint_root
+from medwarden.sources import fixtures
 from medwarden.sources.tables import read_table, write_table
 from medwarden.streaming import chain, refresh
 
@@ -87,6 +89,19 @@ def test_distinct_stream_equals_batch(spark, place, rows, job):
     assert got.count() == 3
 
 
+def test_fact_stream_equals_batch(spark, place, rows, job):
+    reports = fixtures.ae_reports(spark, "/root/testdata/sf0.001")
+    write_table(reports, place("reports"))
+
+    def fact(df):
+        events = enrichment.classify_events(df, fixtures.FIXTURE_LABELS)
+        return silver.fact_adverse_event(events)
+
+    stream = refresh.table_stream(spark, place("reports"), AE_REPORTS, max_files=2)
+    finish(refresh.refresh_stream(stream, fact, place("fact"), job, None, place("chk")))
+    assert rows(read_table(spark, place("fact"))) == rows(fact(reports))
+
+
 def test_health_stream_matches_batch_for_closed_hours(spark, place, rows, job):
     start = dt.datetime(2024, 1, 1)
     data = [
