@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from medwarden.sources.tables import spread
 
-
 # Tables that are transformed row by row, and come as a single row group each.
-_SPREAD = {"lineitem", "orders", "documents", "conversations", "events", "embeddings"}
+_SPREAD = {"lineitem", "documents", "conversations", "events", "embeddings"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,7 +196,7 @@ def call_intelligence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'escalation_reason', case when o_orderstatus = 'P' then o_orderpriority end)"
     )
     file_name = "concat('call_', cast(o_orderkey as string), '.mp3')"
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.expr(f"concat('calls/', {file_name})").alias("file_path"),
         F.expr(file_name).alias("file_name"),
         F.expr(f"case when o_orderkey % 97 = 0 then null else {record} end").alias(
