@@ -1,5 +1,6 @@
 import datetime as dt
 import uuid
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -81,12 +82,21 @@ def test_distinct_stream_equals_batch(spark, place, rows, job):
             )
         )
 
-    for batch in (first, second, first):
+    for batch in (first, first, second):
         write_table(spark.createDataFrame(batch, schema), source, "append")
         run()
     got = read_table(spark, place("dim")).select(*columns)
-    assert rows(got) == rows(silver.dim_drug(spark.read.parquet(source)))
-    assert got.count() == 3
+    want = rows(silver.dim_drug(spark.read.parquet(source)))
+    assert rows(got) == want and got.count() == 3
+
+    # A batch that wrote its rows but was not committed runs again.
+    commits = Path(checkpoint_root(spark, place("chk"))) / job / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink()
+    run()
+    assert (commits / str(last)).exists()
+    assert rows(read_table(spark, place("dim")).select(*columns)) == want
 
 
 def test_fact_stream_equals_batch(spark, place, rows, job):
