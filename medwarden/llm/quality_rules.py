@@ -36,15 +36,17 @@ MEASURES = {
 }
 
 
-def _without(text: Column, letters: str) -> Column:
-    return F.length(F.translate(text, letters, ""))
+def _count(text: str, letters: str) -> Column:
+    """Characters of ``text`` in a character class."""
+    return F.length(F.regexp_replace(text, f"[^{letters}]+", "")).cast("long")
 
 
 def text_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The base counts of every text, as columns beside ``_id`` and ``more``.
 
-    Three-word windows are compared by a 64-bit hash; where two agree their words are compared
-    too. Everything stays within the row, so nothing is shuffled.
+    Three-word windows are compared by hash: of 64 bits, as many are kept as a position does not
+    need, so two different windows of a text of n words agree with probability n / 2**64 at most.
+    Everything stays within the row, so nothing is shuffled.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = text_of(docs, id_col, text_col, *more).select(
@@ -56,11 +58,9 @@ def text_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     rows = rows.select(
         "_id",
         *more,
-        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - _without(F.col("_text"), SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.length("_text") - _without(F.col("_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        .cast("long")
-        .alias("n_upper"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        _count("_text", SYMBOLS).alias("n_symbols"),
+        _count("_text", "A-Z").alias("n_upper"),
         F.explode(F.array(lines)).alias("_lines"),
         "_w",
     )
@@ -91,17 +91,13 @@ def text_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
             " sort_array(transform(_h, (h, i) -> shiftleft(h, _bits) | cast(i as bigint))))))"
         ),
     )
-    same = (
-        "shiftright(k, _bits) = shiftright(get(_k, {j}), _bits)"
-        " and slice(_w, int(k & (shiftleft(1L, _bits) - 1)) + 1, 3)"
-        " = slice(_w, int(get(_k, {j}) & (shiftleft(1L, _bits) - 1)) + 1, 3)"
-    )
+    same = "shiftright(k, _bits) = shiftright(get(_k, {j}), _bits)"
     rows = rows.withColumn(
         "_r",
         F.expr(
             "explode(array(sort_array(transform(filter(_k, (k, i) ->"
             f" coalesce({same.format(j='i + 1')}, false)"
-            f" or coalesce(if(i = 0, false, {same.format(j='i - 1')}), false)),"
+            f" or coalesce({same.format(j='i - 1')}, false)),"
             " k -> int(k & (shiftleft(1L, _bits) - 1))))))"
         ),
     )
