@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medwarden.llm import quality_rules
+from medwarden.llm import quality_rules, simhash
 from medwarden.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE: dict[str, str] = {
