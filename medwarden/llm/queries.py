@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from medwarden.llm import language_id, quality_rules, secret_scan, simhash
+from medwarden.llm import language_id, quality_rules, secret_scan, simhash, token_counts, url_filter
 from medwarden.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +29,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op7_url_filter": op7_url_filter,
     "op9_simhash": op9_simhash,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
