@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from medwarden.llm import bpe, language_id, quality_rules, secret_scan, simhash, token_counts, url_filter
+from medwarden.llm import bpe, decontaminate, language_id, quality_rules, secret_scan, simhash, token_counts, url_filter
 from medwarden.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), path)
@@ -47,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op9_simhash": op9_simhash,
