@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from medwarden.llm import bpe, decontaminate, language_id, quality_rules, secret_scan, simhash, token_counts, url_filter
+from medwarden.llm import bpe, decontaminate, language_id, line_dedup, quality_rules, secret_scan, simhash, token_counts, url_filter
 from medwarden.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -56,10 +60,12 @@ QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
