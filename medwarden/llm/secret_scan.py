@@ -269,12 +269,16 @@ def labelled(text: str) -> Iterator[tuple[list[str], list[int], list[str]]]:
 def train(windows: list[tuple[list[str], list[int], list[str]]]) -> Field:
     """Penalised maximum likelihood by Adam over all windows at once; the same windows give the same
     field."""
-    near = Counter()
+    near, total = Counter(), Counter()
     for tokens, tags, _ in windows:
+        plain = [t.lower() if len(t) > 2 and t.isalpha() and t.isascii() else "" for t in tokens]
+        total.update(plain)
         for i, tag in enumerate(tags):
             if tag == BEGIN:
-                near.update({t.lower() for t in tokens[max(0, i - 3) : i] if t.isascii() and len(t) > 2 and not any(c.isdigit() for c in t)})
-    named = sorted(w for w, n in sorted(near.items(), key=lambda x: (-x[1], x[0]))[:MAX_NAMED] if n > 1)
+                near.update(set(plain[max(0, i - 3) : i]) - {""})
+    # Words that mostly stand before a secret; an everyday word would name half of any text.
+    telling = [w for w, n in near.items() if n > 1 and 2 * n >= total[w]]
+    named = sorted(sorted(telling, key=lambda w: (-near[w], w))[:MAX_NAMED])
     ids: dict[str, int] = {}
     rows = []
     for tokens, tags, file in windows:
