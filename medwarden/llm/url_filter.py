@@ -104,9 +104,10 @@ def window_ratios(windows: DataFrame) -> DataFrame:
             f"c{k}",
             True,
         )
-        out = out.join(grams, gram == F.col(f"_g{k}"))
+        # Files are far smaller than what is made of them, so sizes mislead the choice of a join.
+        out = out.join(grams.hint("merge"), gram == F.col(f"_g{k}"))
         if k:
-            out = out.join(contexts, context == F.col(f"_c{k}"))
+            out = out.join(contexts.hint("merge"), context == F.col(f"_c{k}"))
         else:
             out = out.crossJoin(F.broadcast(contexts))  # the empty context is one row
         for m in ("a", "r"):
@@ -188,6 +189,7 @@ def url_filter(
     ratios = stage(window_ratios(windows), "ratios")
     scores = (
         each.select("_h", "window")
+        .hint("merge")
         .join(ratios, "window")
         .groupBy("_h")
         .agg(F.round(F.avg("ratio"), 6).alias("score"))
