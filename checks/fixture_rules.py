@@ -73,6 +73,9 @@ TERM_PHRASES = [
     ("in the", "Term B", "Class 2"),
     ("de la", "Term C", "Class 3"),
     ("thin", "Term D", "Class 1"),
+    ("in this ouing", "Term E", "Class 4"),
+    ("erti anthhees isontilyed hewh oned", "Term F", "Class 4"),
+    ("threedin thonsttion anshtionsh a thanst", "Term G", "Class 2"),
 ]
 DRUG_PHRASES = [("ea", "Drug X"), ("es", "Drug Y"), ("nd", "Drug X"), ("on the", "Drug Z")]
 

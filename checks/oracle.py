@@ -313,7 +313,9 @@ def _extraction_relations() -> str:
       FROM turns GROUP BY conv_id
     ), grams AS (
       SELECT DISTINCT conv_id, turn, text, unnest(list_concat(w, list_transform(
-        range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS phrase
+        range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(
+        range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')), list_transform(
+        range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS phrase
       FROM turns
     ), lexicon(phrase, kind, name, soc) AS (VALUES {terms}, {drugs}),
     mentions AS (
@@ -322,13 +324,14 @@ def _extraction_relations() -> str:
       FROM grams JOIN lexicon USING (phrase) GROUP BY conv_id, kind, name
     ), event_names AS (
       SELECT conv_id, list(name ORDER BY name) AS names, arg_min(text, name) AS verbatim,
+        string_agg(text, '|' ORDER BY name) AS verbatims, string_agg(soc, ',' ORDER BY name) AS classes,
         arg_min(soc, name) AS soc
       FROM mentions WHERE kind = 'event' GROUP BY conv_id
     ), drug_names AS (
       SELECT conv_id, arg_min(name, struct_pack(turn := turn, name := name)) AS drug_name
       FROM mentions WHERE kind = 'drug' GROUP BY conv_id
     ), joined AS (
-      SELECT f.*, n.names, n.verbatim, n.soc, d.drug_name,
+      SELECT f.*, n.names, n.verbatim, n.verbatims, n.classes, n.soc, d.drug_name,
         list_filter([{criteria}], lambda x: x IS NOT NULL) AS criteria,
         CASE {outcomes} ELSE 'unknown' END AS outcome,
         CASE WHEN d.drug_name IS NULL THEN 'unassessable' {causes} ELSE 'possible' END AS causality,
@@ -341,7 +344,9 @@ def _extraction_relations() -> str:
           WHEN drug_name IS NULL OR coalesce(age, sex, identifier) IS NULL THEN 'incomplete'
           WHEN dose IS NOT NULL AND route IS NOT NULL THEN 'complete'
           ELSE 'minimum_criteria_met' END AS icsr_completeness,
-        coalesce(array_to_string(names, ','), '') AS terms, verbatim AS first_verbatim,
+        coalesce(array_to_string(names, ','), '') AS terms,
+        coalesce(verbatims, '') AS verbatims, coalesce(classes, '') AS classes,
+        verbatim AS first_verbatim,
         soc AS first_class,
         CASE WHEN names IS NULL THEN NULL WHEN len(criteria) = 0 THEN 'none'
           ELSE array_to_string(criteria, ',') END AS seriousness,
@@ -416,13 +421,23 @@ def _prr(pairs: str, event: str, threshold: float, operator: str, extra: str = "
 
 
 _RATES = """, rates AS (
-  WITH de AS (SELECT drug_name, ae_soc_class, count(*) AS n FROM fact GROUP BY ALL),
-    dt AS (SELECT drug_name, count(*) AS n FROM fact GROUP BY ALL),
-    et AS (SELECT ae_soc_class, count(*) AS n FROM fact GROUP BY ALL)
-  SELECT de.drug_name, de.ae_soc_class, de.n AS de_count,
-    round((cast(de.n AS double) / dt.n)
-      / (cast(et.n AS double) / (SELECT count(*) FROM fact)), 2) AS prr
-  FROM de JOIN dt ON de.drug_name = dt.drug_name JOIN et ON de.ae_soc_class = et.ae_soc_class
+  WITH cube AS (
+    SELECT drug_name, ae_soc_class, count(*) AS n,
+      GROUPING(drug_name, ae_soc_class) AS level
+    FROM fact GROUP BY CUBE (drug_name, ae_soc_class)
+  ), tagged AS (
+    SELECT pair.drug_name, pair.ae_soc_class, pair.n AS de_count, list(other.level ORDER BY
+      other.level) AS levels, list(other.n ORDER BY other.level) AS margins
+    FROM cube pair JOIN cube other ON (other.level = 3
+      OR other.level = 1 AND other.drug_name = pair.drug_name
+      OR other.level = 2 AND other.ae_soc_class = pair.ae_soc_class)
+    WHERE pair.level = 0 AND pair.drug_name IS NOT NULL AND pair.ae_soc_class IS NOT NULL
+    GROUP BY ALL
+  )
+  SELECT drug_name, ae_soc_class, de_count,
+    round((cast(de_count AS double) / margins[1])
+      / (cast(margins[2] AS double) / margins[3]), 2) AS prr
+  FROM tagged
 )"""
 
 _UNIFIED = (
@@ -462,10 +477,11 @@ def _bm25(relation: str, key: str, queries: str) -> str:
     ), numbered AS (SELECT row_number() OVER () AS doc_no, {key} FROM docs),
     dfs AS (SELECT term, cast(count(*) AS double) AS df FROM postings GROUP BY term),
     scored AS (
-      SELECT query_id, doc_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-        / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-      FROM asked JOIN postings USING (term) JOIN dfs USING (term) CROSS JOIN stats
-      GROUP BY query_id, doc_no
+      SELECT *, round(raw, 6) AS score FROM (
+        SELECT query_id, doc_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+          / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 10) AS raw
+        FROM asked JOIN postings USING (term) JOIN dfs USING (term) CROSS JOIN stats
+        GROUP BY query_id, doc_no)
     )"""
 
 
@@ -474,8 +490,8 @@ _KEYWORD_HITS = (
     + ", "
     + _bm25("narratives", "case_id", f"(1, '{rules.KEYWORDS}')")
     + """, kw AS (
-  SELECT case_id, score FROM scored JOIN numbered USING (doc_no)
-  ORDER BY score DESC, case_id LIMIT 20
+  SELECT case_id, score, raw FROM scored JOIN numbered USING (doc_no)
+  ORDER BY raw DESC, case_id LIMIT 200
 )"""
 )
 _VECTOR_HITS = """vecs AS (
@@ -484,8 +500,9 @@ _VECTOR_HITS = """vecs AS (
     (SELECT cast(embedding AS double[]) FROM embeddings WHERE vec_id = 0) AS q
   FROM embeddings
 ), nearest AS (
-  SELECT case_id, round(list_cosine_similarity(v, q), 6) AS similarity FROM vecs
-  ORDER BY similarity DESC, case_id LIMIT 20
+  SELECT case_id, round(list_cosine_similarity(v, q), 12) AS raw,
+    round(list_cosine_similarity(v, q), 6) AS similarity FROM vecs
+  ORDER BY raw DESC, case_id LIMIT 200
 )"""
 
 _SEARCH_CORPUS = (
@@ -509,20 +526,22 @@ def _masked(columns: str) -> str:
 
 
 _SENSITIVE = [
-    ("identifier", "^[A-Z]{2,4}-[A-Za-z0-9]+$", "_id", "PII"),
+    ("identifier", "^[A-Z]{2,4}-[A-Za-z0-9]+$", "id", "PII"),
     ("date_of_birth", "^19[0-9]{2}-[0-9]{2}-[0-9]{2}$", "dob", "PHI"),
     ("email", "[A-Za-z0-9.]+@[A-Za-z0-9.]+", "email", "PII"),
     ("phone", "[0-9]{3}-[0-9]{4}", "phone", "PII"),
-    ("weight", "^$", "weight", "PHI"),
-    ("age", "^$", "age", "SENSITIVE"),
+    ("weight", "a^", "weight", "PHI"),
+    ("age", "a^", "age", "SENSITIVE"),
     ("sex", "^(Male|Female)$", "sex", "SENSITIVE"),
 ]
 _CLASSIFY = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, '{cat}' AS category, round(count(*) FILTER "
-    f"(regexp_matches(cast({c} AS varchar), '{pattern}')) / cast(count({c}) AS double), 4) "
-    f"AS hit_rate, {'true' if part in c else 'false'} AS name_match, '{tag}' AS proposed_tag "
-    "FROM dim_patient"
-    for c in _DIMS.split(", ")
+    f"(regexp_matches(cast({c} AS varchar), '{pattern}')) / cast(greatest(count({c}), 1) AS double)"
+    f", 4) AS hit_rate, {'true' if part in c.split('_') else 'false'} AS name_match, "
+    f"'{tag}' AS proposed_tag "
+    "FROM (SELECT *, 'en' AS language, CASE WHEN patient_age % 10 = 0 THEN '' END AS note "
+    "FROM dim_patient)"
+    for c in [*_DIMS.split(", "), "language", "note"]
     for cat, pattern, part, tag in _SENSITIVE
 )
 _NOW = f"timestamp '{rules.QUALITY_TIME}'"
@@ -702,12 +721,14 @@ ORACLE: dict[str, str] = {
     "search_corpus": f"WITH {_SEARCH_CORPUS} SELECT case_id, drug_name, ae_soc_class, "
     "count(*) AS n, cast(max(length(narrative_text)) AS integer) AS text_length FROM corpus "
     "GROUP BY ALL",
-    "keyword_search": f"WITH {_KEYWORD_HITS} SELECT * FROM kw",
+    "keyword_search": f"WITH {_KEYWORD_HITS} SELECT case_id, score FROM kw "
+    "ORDER BY raw DESC, case_id LIMIT 20",
     "keyword_search_filtered": f"WITH {_SEARCH_CORPUS}, "
     + _bm25("corpus", "case_id, drug_name, ae_soc_class", f"(1, '{rules.KEYWORDS}')")
     + " SELECT case_id, drug_name, score FROM scored JOIN numbered USING (doc_no) "
-    "WHERE ae_soc_class = 'gear' ORDER BY score DESC, case_id, drug_name LIMIT 20",
-    "vector_search": f"WITH {_VECTOR_HITS} SELECT * FROM nearest",
+    "WHERE ae_soc_class = 'gear' ORDER BY raw DESC, case_id, drug_name LIMIT 20",
+    "vector_search": f"WITH {_VECTOR_HITS} SELECT case_id, similarity FROM nearest "
+    "ORDER BY raw DESC, case_id LIMIT 20",
     "hybrid_search": f"""WITH {_KEYWORD_HITS}, {_VECTOR_HITS}, k AS (
         SELECT case_id, row_number() OVER (ORDER BY score DESC, case_id) AS keyword_rank FROM kw
       ), v AS (
@@ -721,8 +742,16 @@ ORACLE: dict[str, str] = {
     "search_batch": f"WITH {DOC_NARRATIVES}, "
     + _bm25("narratives", "case_id", ", ".join(f"({i}, '{q}')" for i, q in rules.QUERIES))
     + " SELECT query_id, case_id, score, cast(row_number() OVER (PARTITION BY query_id "
-    "ORDER BY score DESC, case_id) AS integer) AS rank FROM scored JOIN numbered USING (doc_no) "
+    "ORDER BY raw DESC, case_id) AS integer) AS rank FROM scored JOIN numbered USING (doc_no) "
     "QUALIFY rank <= 10",
+    "search_batch_filtered": f"WITH {_SEARCH_CORPUS}, "
+    + _bm25(
+        "corpus", "case_id, drug_name, ae_soc_class",
+        ", ".join(f"({i}, '{q}')" for i, q in rules.QUERIES),
+    )
+    + " SELECT query_id, case_id, drug_name, score, cast(row_number() OVER (PARTITION BY query_id "
+    "ORDER BY raw DESC, case_id, drug_name) AS integer) AS rank FROM scored "
+    "JOIN numbered USING (doc_no) WHERE ae_soc_class = 'gear' QUALIFY rank <= 10",
     "search_narratives": f"""WITH {ENRICHED} SELECT case_id, narrative_text, extracted_drug,
         extracted_ae, extracted_causality, narrative_sentiment FROM fact_narrative
       WHERE contains(lower(narrative_text), 'gizmo') OR contains(lower(extracted_ae), 'gizmo')
@@ -762,10 +791,11 @@ ORACLE: dict[str, str] = {
         "GROUP BY drug_name, ae_severity"
     ),
     "drug_severity_matrix": _fact(
-        'SELECT drug_name, count(*) FILTER (ae_severity = \'Mild\') AS "Mild", '
-        "count(*) FILTER (ae_severity = 'moderate') AS \"moderate\", "
-        "count(*) FILTER (ae_severity = 'Severe') AS \"Severe\", "
-        'cast(0 AS bigint) AS "Unseen" FROM fact WHERE drug_name IN (SELECT drug_name FROM fact '
+        'SELECT drug_name, count(*) FILTER (lower(ae_severity) = \'mild\') AS "Mild", '
+        "count(*) FILTER (lower(ae_severity) = 'moderate') AS \"Moderate\", "
+        "count(*) FILTER (lower(ae_severity) = 'unseen') AS \"Unseen\", "
+        "count(*) FILTER (lower(ae_severity) NOT IN ('mild', 'moderate', 'unseen') "
+        'OR ae_severity IS NULL) AS "other" FROM fact WHERE drug_name IN (SELECT drug_name FROM fact '
         "GROUP BY drug_name ORDER BY count(*) DESC, drug_name LIMIT 10) GROUP BY drug_name"
     ),
     "monthly_trend": _fact(

@@ -252,6 +252,8 @@ def _extraction_rows(spark: SparkSession, turns: DataFrame) -> DataFrame:
         F.col(record + "ae_detected").alias("ae_detected"),
         F.col(record + "icsr_completeness").alias("icsr_completeness"),
         F.array_join(names, ",").alias("terms"),
+        F.array_join(F.transform(record + "adverse_events", lambda e: e["ae_description_verbatim"]), "|").alias("verbatims"),
+        F.array_join(F.transform(record + "adverse_events", lambda e: e["meddra_soc_class"]), ",").alias("classes"),
         event["ae_description_verbatim"].alias("first_verbatim"),
         event["meddra_soc_class"].alias("first_class"),
         F.array_join(event["seriousness_criteria"], ",").alias("seriousness"),
@@ -458,8 +460,10 @@ def search_corpus(spark, d):
     )
 
 
-def keyword_search(spark, d):
-    return search.keyword_search(narratives(spark, d), rules.KEYWORDS, cols=["case_id"], limit=20)
+def keyword_search(spark, d, limit=20):
+    return search.keyword_search(
+        narratives(spark, d), rules.KEYWORDS, cols=["case_id"], limit=limit
+    )
 
 
 def keyword_search_filtered(spark, d):
@@ -478,14 +482,15 @@ def _query_vector(spark: SparkSession, d: str):
     return vectors.filter("vec_id = 0").select("embedding").scalar()
 
 
-def vector_search(spark, d):
+def vector_search(spark, d, k=20):
     return search.vector_search(
-        fixtures.narrative_vectors(spark, d), _query_vector(spark, d), k=20
+        fixtures.narrative_vectors(spark, d), _query_vector(spark, d), k=k
     )
 
 
 def hybrid_search(spark, d):
-    return search.hybrid_search(keyword_search(spark, d), vector_search(spark, d), k=20)
+    hits = keyword_search(spark, d, limit=200), vector_search(spark, d, k=200)
+    return search.hybrid_search(*hits, k=20, depth=200)
 
 
 def search_batch(spark, d):
@@ -493,6 +498,12 @@ def search_batch(spark, d):
     return search.search_batch(narratives(spark, d), asked, k=10)
 
 
+def search_batch_filtered(spark, d):
+    asked = spark.createDataFrame(rules.QUERIES, "query_id int, query string")
+    gear = {"ae_soc_class": "gear"}
+    return search.search_batch(_corpus(spark, d), asked, k=10, filters=gear, cols=["drug_name"])
+
+
 def search_narratives(spark, d):
     return search.search_narratives(fact_narrative(spark, d), rules.SUBSTRING, 20).withColumn(
         "narrative_sentiment", F.round("narrative_sentiment", 6)
@@ -543,7 +554,10 @@ def mask_null(spark, d):
 
 
 def classify_columns(spark, d):
-    return governance.classify_columns(patients(spark, d))
+    rows = patients(spark, d).withColumns(
+        {"language": F.lit("en"), "note": F.when(F.col("patient_age") % 10 == 0, "")}
+    )
+    return governance.classify_columns(rows)
 
 
 _DQ = [
@@ -714,6 +728,7 @@ QUERIES: dict[str, Query] = {
     "vector_search": vector_search,
     "hybrid_search": hybrid_search,
     "search_batch": search_batch,
+    "search_batch_filtered": search_batch_filtered,
     "search_narratives": search_narratives,
     "narrative_overview": narrative_overview,
     "search_transcripts": search_transcripts,
@@ -727,7 +742,7 @@ QUERIES: dict[str, Query] = {
     "cases_by_soc": _of_fact(dashboards.cases_by_soc, "ae_soc_class"),
     "drug_severity": _of_fact(dashboards.drug_severity, "drug_name", "ae_severity"),
     "drug_severity_matrix": _of_fact(
-        lambda f: dashboards.drug_severity_matrix(f, ["Mild", "moderate", "Severe", "Unseen"]),
+        lambda f: dashboards.drug_severity_matrix(f, ["Mild", "Moderate", "Unseen"]),
         "drug_name",
         "ae_severity",
     ),

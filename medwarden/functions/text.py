@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 NON_WORD = r"[^\p{L}\p{N}]+"
@@ -16,9 +15,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NON_WORD), lambda t: t != "")
 
 
-def query_terms(text: str) -> list[str]:
-    """The same split for a search string held by the caller, distinct and sorted."""
-    return sorted({t.lower() for t in re.findall(r"[^\W_]+", text)})
+def query_terms(spark: SparkSession, text: str) -> list[str]:
+    """Distinct words of a search string held by the caller, by the expression texts are split with."""
+    words = spark.sql("SELECT 1").select(F.array_sort(F.array_distinct(tokens(F.lit(text)))))
+    return list(words.first()[0])
 
 
 def keep_words(words: Column, wanted: Iterable[str]) -> Column:
@@ -31,21 +31,6 @@ def count_words(words: Column, wanted: Iterable[str]) -> Column:
     return F.coalesce(F.size(keep_words(words, wanted)), F.lit(0))
 
 
-def phrases(words: Column, max_words: int) -> Column:
-    """All runs of 1..max_words neighbouring tokens, joined by one space."""
-
-    def runs(n: int) -> Column:
-        def run(start: Column) -> Column:
-            return F.concat_ws(" ", *[F.get(words, start + F.lit(k)) for k in range(n)])
-
-        starts = F.when(
-            F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - F.lit(n))
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, run)
-
-    return F.concat(words, *[runs(n) for n in range(2, max_words + 1)])
-
-
 def contains_ci(column: Column, text: str, wildcards: bool = False) -> Column:
     """Case-insensitive substring test; ``wildcards`` lets % and _ in ``text`` act as in LIKE."""
     if wildcards:

@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medwarden import schemas
-from medwarden.functions.text import count_words, keep_words, phrases, tokens
+from medwarden.functions.text import count_words, keep_words, tokens
 from medwarden.operators.enrichment import Model, apply_model
-from medwarden.operators.skew import lookup_join
 from medwarden.sources.files import not_yet_in
 
 CALL_KEY = ["file_path", "file_name"]
@@ -298,7 +297,9 @@ class ExtractionRules:
     off_label: Sequence[str] = ("unapproved", "unlicensed", "offlabel")
     age_pattern: str = r"([0-9]{1,3}) years? old"
     id_pattern: str = r"(PAT-[A-Za-z0-9]+)"
-    dose_pattern: str = r"([0-9]+ ?m[gl])"
+    dose_pattern: str = (
+        r"(?:^|[^A-Za-z0-9.,])([0-9]+(?:[.,][0-9]+)? ?(?:mcg|µg|μg|ug|mg|ml|IU|iu|g))(?:[^A-Za-z]|$)"
+    )
     routes: Sequence[str] = ("oral", "intravenous", "subcutaneous", "intramuscular")
 
     def all_words(self) -> list[str]:
@@ -350,15 +351,15 @@ def extract_adverse_events(
     term_lexicon: DataFrame | None = None,
     drug_lexicon: DataFrame | None = None,
     rules: ExtractionRules | None = None,
-    max_words: int = 2,
     model: Model | None = None,
     key: Sequence[str] = tuple(CALL_KEY),
 ) -> DataFrame:
     """One nested extraction record per call, with the time of extraction.
 
     ``term_lexicon`` has columns phrase, preferred_term, soc_class; ``drug_lexicon`` has phrase,
-    drug_name. Phrases are lower-case and may have up to ``max_words`` words. A call lists each
-    preferred term once, with the text of the turn that first mentions it.
+    drug_name. A phrase has any number of words and is split like the text, so case and signs
+    between its words do not matter. A call lists each preferred term once, with the text of the
+    turn that first mentions it.
     """
     if model is not None:
         return _model_record(
@@ -409,22 +410,30 @@ def extract_adverse_events(
             F.lit(None).cast("string").alias("soc"),
         )
     )
-    # Distinct phrases of a turn: a word repeated in a turn makes one row. explode_outer, because
-    # for explode the optimizer adds a filter that would split each text again.
-    grams = worded.select(
-        *key,
-        "turn",
-        "text",
-        F.explode_outer(F.array_distinct(phrases(F.col("_words"), max_words))).alias("phrase"),
-    )
-    mentions = (
-        lookup_join(grams, lexicon, "phrase")
-        .groupBy(*key, "kind", "name")
-        .agg(
-            F.min(F.struct("turn", "text")).alias("first"),
-            F.min("soc").alias("soc"),
-        )
-    )
+    wanted = lexicon.select(tokens(F.col("phrase")).alias("_phrase"), "kind", "name", "soc").filter(
+        F.size("_phrase") > 0
+    )
+    longest = wanted.agg(F.max(F.size("_phrase"))).scalar()
+    # A word with as many behind it as the longest phrase has: rows are joined on the first word
+    # and then compared, and the text of the turn stays behind. explode_outer, because for explode
+    # the optimizer adds a filter that would split each text again.
+    spots = worded.select(*key, "turn", "_words", F.posexplode_outer("_words").alias("_at", "_first"))
+    spots = spots.select(
+        *key, "turn", "_first", F.slice("_words", F.col("_at") + 1, longest).alias("_behind")
+    ).distinct()
+    found = spots.join(wanted, F.col("_first") == F.col("_phrase")[0]).filter(
+        F.slice("_behind", F.lit(1), F.size("_phrase")) == F.col("_phrase")
+    )
+    first_said = found.groupBy(*key, "kind", "name").agg(
+        F.min("turn").alias("turn"), F.min("soc").alias("soc")
+    )
+    # The texts of the first mentions, each moved once.
+    said = (
+        first_said.select(*key, "turn").distinct()
+        .join(turns.select(*key, "turn", "text"), [*key, "turn"])
+        .groupBy(*key, "turn").agg(F.min("text").alias("text"))
+    )
+    mentions = first_said.join(said, [*key, "turn"]).withColumn("first", F.struct("turn", "text"))
     # At most one element per lexicon term and call.
     event_list = F.sort_array(
         F.collect_list(F.when(F.col("kind") == "event", F.struct("name", "soc", "first")))

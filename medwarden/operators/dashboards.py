@@ -77,13 +77,21 @@ def drug_severity(fact: DataFrame, top: int = 10) -> DataFrame:
 def drug_severity_matrix(
     fact: DataFrame, levels: Sequence[str] = ("Mild", "Moderate", "Severe"), top: int = 10
 ) -> DataFrame:
-    """``drug_severity`` as one row per drug and one column per level; gaps are 0."""
+    """``drug_severity`` as one row per drug, one column per level, and ``other``.
+
+    Levels are compared without regard to case, as the severe measure does. ``other`` counts any
+    other severity and none at all, so a row sums to the drug's reports.
+    """
+    severity = F.lower(F.col("ae_severity"))
+    known = F.coalesce(severity.isin([level.lower() for level in levels]), F.lit(False))
+
+    def total(when: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("cnt"))), F.lit(0)).cast("long").alias(name)
+
     return (
         drug_severity(fact, top)
         .groupBy("drug_name")
-        .pivot("ae_severity", list(levels))
-        .agg(F.sum("cnt"))
-        .fillna(0)
+        .agg(*[total(severity == level.lower(), level) for level in levels], total(~known, "other"))
     )
 
 

@@ -192,16 +192,17 @@ def class_distribution(classified: DataFrame) -> DataFrame:
 
 # --- narratives ---------------------------------------------------------------------------
 
-# Group 1 of each pattern is the value. ``concomitant_drugs`` lists every match.
+# Group 1 of each pattern is the value: everything up to what follows it in the template.
+# ``concomitant_drugs`` lists every match.
 FIELD_PATTERNS: dict[str, str] = {
-    "primary_drug": r"received ([A-Za-z0-9#-]+)",
-    "adverse_event": r"developed ([A-Za-z -]+) \(severity",
-    "severity_assessment": r"\(severity: ([A-Za-z]+)",
-    "patient_outcome": r"outcome was ([A-Za-z ]+)\.",
+    "primary_drug": r"received (.+?) [0-9][0-9.,]* ?[A-Za-zµμ%]+ \(",
+    "adverse_event": r"developed (.+?) \(severity",
+    "severity_assessment": r"\(severity: ([^,;)]+)",
+    "patient_outcome": r"outcome was ([^.]+)\.",
     "onset_days": r"after (\d+) days",
     "causality": r"causality (?:was )?(?:assessed as )?(certain|probable|possible|unlikely)",
     "dechallenge_result": r"dechallenge (?:was )?(positive|negative|not done)",
-    "concomitant_drugs": r"together with ([A-Za-z0-9#-]+)",
+    "concomitant_drugs": r"together with ([^.,;]+?)(?: and |[.,;]|$)",
 }
 LIST_FIELDS = {"concomitant_drugs"}
 

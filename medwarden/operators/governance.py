@@ -20,12 +20,14 @@ TAGS: dict[str, list[str]] = {
     "HIPAA_CATEGORY": ["PHI", "PII", "SENSITIVE", "PUBLIC"],
     "DATA_CLASSIFICATION": ["CONFIDENTIAL", "INTERNAL", "PUBLIC"],
 }
+# Column -> its tags, one pair or several.
 PATIENT_TAGS = {
     "patient_dob": ("HIPAA_CATEGORY", "PHI"),
     "patient_id": ("HIPAA_CATEGORY", "PII"),
     "patient_weight": ("HIPAA_CATEGORY", "PHI"),
     "patient_age": ("HIPAA_CATEGORY", "SENSITIVE"),
 }
+FACT_TAGS = {"case_id": [("DATA_CLASSIFICATION", "CONFIDENTIAL")]}
 
 Mask = Callable[[Column, T.DataType, str], Column]
 
@@ -81,24 +83,27 @@ def mask_null(df: DataFrame, role: str, column: str = "patient_weight") -> DataF
 # --- detection ----------------------------------------------------------------------------
 
 # category -> (pattern of the content, part of the column name, tag value)
-SENSITIVE_PATTERNS: dict[str, tuple[str, str, str]] = {
-    "identifier": (r"^[A-Z]{2,4}-[A-Za-z0-9]+$", "_id", "PII"),
+SENSITIVE_PATTERNS: dict[str, tuple[str | None, str, str]] = {
+    "identifier": (r"^[A-Z]{2,4}-[A-Za-z0-9]+$", "id", "PII"),
     "date_of_birth": (r"^19[0-9]{2}-[0-9]{2}-[0-9]{2}$", "dob", "PHI"),
     "email": (r"[A-Za-z0-9.]+@[A-Za-z0-9.]+", "email", "PII"),
     "phone": (r"[0-9]{3}-[0-9]{4}", "phone", "PII"),
-    "weight": (r"^$", "weight", "PHI"),
-    "age": (r"^$", "age", "SENSITIVE"),
+    "weight": (None, "weight", "PHI"),
+    "age": (None, "age", "SENSITIVE"),
     "sex": (r"^(Male|Female)$", "sex", "SENSITIVE"),
 }
 
 
 def classify_columns(
     df: DataFrame,
-    patterns: Mapping[str, tuple[str, str, str]] = SENSITIVE_PATTERNS,
+    patterns: Mapping[str, tuple[str | None, str, str]] = SENSITIVE_PATTERNS,
     min_rate: float = 0.8,
 ) -> DataFrame:
     """Columns that look sensitive by content or by name, with the tag to propose.
 
+    A pattern of None leaves the content alone. A name fits by one of its parts between
+    underscores, so ``language`` is no ``age``.
+
     One aggregate counts all matches; the result has a row per column and category that fits.
     """
     aggregates: list[Column] = []
@@ -107,7 +112,8 @@ def classify_columns(
         text = F.col(f"`{name}`").cast("string")
         aggregates.append(F.count(text).alias(f"n{i}"))
         for j, (category, (pattern, part, tag)) in enumerate(patterns.items()):
-            aggregates.append(F.count(F.when(text.rlike(pattern), 1)).alias(f"m{i}_{j}"))
+            hit = F.lit(False) if pattern is None else text.rlike(pattern)
+            aggregates.append(F.count(F.when(hit, 1)).alias(f"m{i}_{j}"))
             rate = F.coalesce(
                 F.col(f"m{i}_{j}").cast("double")
                 / F.nullif(F.col(f"n{i}").cast("double"), F.lit(0.0)),
@@ -118,7 +124,7 @@ def classify_columns(
                     F.lit(name).alias("column_name"),
                     F.lit(category).alias("category"),
                     F.round(rate, 4).alias("hit_rate"),
-                    F.lit(part in name.lower()).alias("name_match"),
+                    F.lit(part in name.lower().split("_")).alias("name_match"),
                     F.lit(tag).alias("proposed_tag"),
                 )
             )
@@ -138,15 +144,19 @@ def tag_column(df: DataFrame, column: str, tag: str, value: str) -> DataFrame:
     return df.withMetadata(field.name, {**field.metadata, "tags": tags})
 
 
-def tag_columns(df: DataFrame, tags: Mapping[str, tuple[str, str]] = PATIENT_TAGS) -> DataFrame:
-    for column, (tag, value) in tags.items():
-        df = tag_column(df, column, tag, value)
+def tag_columns(
+    df: DataFrame, tags: Mapping[str, tuple[str, str] | Sequence[tuple[str, str]]] = PATIENT_TAGS
+) -> DataFrame:
+    """Put one tag, or several, on each named column."""
+    for column, pairs in tags.items():
+        for tag, value in [pairs] if isinstance(pairs, tuple) else pairs:
+            df = tag_column(df, column, tag, value)
     return df
 
 
 def tag_detected(
     df: DataFrame,
-    patterns: Mapping[str, tuple[str, str, str]] = SENSITIVE_PATTERNS,
+    patterns: Mapping[str, tuple[str | None, str, str]] = SENSITIVE_PATTERNS,
     min_rate: float = 0.8,
     tag: str = "HIPAA_CATEGORY",
 ) -> DataFrame:

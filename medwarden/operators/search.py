@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from medwarden.functions.numbers import count_where
 from medwarden.functions.text import contains_ci, count_words, query_terms, shorten, tokens
-from medwarden.operators.skew import lookup_join, salted_join
+from medwarden.operators.skew import salted_join
 
 K1 = 1.2
 B = 0.75
@@ -56,7 +56,7 @@ def keyword_search(
     Corpus statistics (rows, mean length, rows per word) are one small aggregate over the whole
     corpus. Scores are computed where the rows are; only the top ``limit`` rows move.
     """
-    terms = query_terms(query)
+    terms = query_terms(corpus.sparkSession, query)
     if not terms:
         raise ValueError("the query has no words")
     text = F.col(text_col)
@@ -83,17 +83,18 @@ def keyword_search(
         score = score + weight * _saturated(
             F.col(name), F.col("_length"), F.col("_stats.mean_length")
         )
-    # Rows without a hit are dropped after the limit: they sort last anyway, and a filter below
-    # would be pushed down and split the texts again.
+    # Rows without a hit score 0 and sort last; any hit scores more, however common the word. They
+    # are dropped after the limit: a filter below would be pushed down and split the texts again.
     return (
         rows.withColumn("_words", tokens(text))
         .withColumns({"_length": F.size("_words"), **counts})
         .withColumn("_stats", stats.select(F.struct("*")).scalar())
-        .withColumn("score", F.round(score, 6))
+        .withColumn("score", score)
         .select(*dict.fromkeys([*cols, *tie_break]), "score")
         .orderBy(F.desc("score"), *tie_break)
         .limit(limit)
         .filter(F.col("score") > 0)
+        .withColumn("score", F.round("score", 6))
     )
 
 
@@ -126,9 +127,10 @@ def vector_search(
     return (
         vectors.withColumn("_vector", F.col(vector_col).cast("array<double>"))
         .withColumn("_query", target)
-        .select(id_col, F.round(similarity, 6).alias("similarity"))
+        .select(id_col, similarity.alias("similarity"))
         .orderBy(F.desc_nulls_last("similarity"), id_col)
         .limit(k)
+        .withColumn("similarity", F.round("similarity", 6))
     )
 
 
@@ -138,16 +140,21 @@ def hybrid_search(
     k: int = 5,
     c: int = 60,
     id_col: str = "case_id",
+    depth: int = 200,
 ) -> DataFrame:
     """Reciprocal-rank fusion of the hit lists of the two searches.
 
-    An item scores 1/(c + rank) in each list that has it. The inputs are the (short) result lists,
-    so ranking them in one task is bounded by their ``limit`` and ``k``.
+    An item scores 1/(c + rank) in each list that has it. The first ``depth`` hits of each list
+    count, so the searches should return that many, well above ``k``: an item just below the top
+    of both lists may beat those on top of one. Ranking them in one task is bounded by ``depth``.
     """
+    if depth < k:
+        raise ValueError("depth must be at least k")
 
     def ranked(hits: DataFrame, value: str, name: str) -> DataFrame:
         order = Window.orderBy(F.desc_nulls_last(value), F.col(id_col))
-        return hits.select(id_col, F.row_number().over(order).alias(name))
+        best = hits.orderBy(F.desc_nulls_last(value), id_col).limit(depth)
+        return best.select(id_col, F.row_number().over(order).alias(name))
 
     by_word = ranked(keyword_hits, "score", "keyword_rank")
     by_vector = ranked(vector_hits, "similarity", "vector_rank")
@@ -157,11 +164,10 @@ def hybrid_search(
 
     return (
         by_word.join(by_vector, id_col, "full")
-        .withColumn(
-            "score", F.round(part("keyword_rank") + part("vector_rank"), 6)
-        )
+        .withColumn("score", part("keyword_rank") + part("vector_rank"))
         .orderBy(F.desc("score"), id_col)
         .limit(k)
+        .withColumn("score", F.round("score", 6))
     )
 
 
@@ -171,19 +177,29 @@ def search_batch(
     k: int = 5,
     key: str = "case_id",
     text_col: str = "narrative_text",
+    filters: Mapping[str, str] | None = None,
+    cols: Sequence[str] = (),
 ) -> DataFrame:
     """Top ``k`` rows for each of many queries (query_id, query), scored as ``keyword_search``.
 
-    Texts become postings, and only words some query asks for are kept before anything is
-    shuffled. ``key`` is unique in the corpus. Ranking per query drops all but ``k`` rows before
-    its shuffle.
+    Parts of a score are added in ascending order, so equal rows score equal. A row of the corpus
+    is scored as a whole, also where several rows share ``key`` and text; ties
+    go by ``key`` and ``cols``. Scores are made where the words are, so what is shuffled first are
+    the postings of asked words, and each task keeps ``k`` rows a query before the ranking.
     """
-    asked = (
-        queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    )
+    asked = queries.select(
+        "query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")
+    ).distinct()
     vocabulary = asked.select("term").distinct()
+    out = list(dict.fromkeys([key, *cols]))
+    wanted = F.lit(True)
+    for column, value in (filters or {}).items():
+        wanted = wanted & F.coalesce(F.col(column) == value, F.lit(False))
     docs = corpus.filter(F.col(text_col).isNotNull()).select(
-        key, tokens(F.col(text_col)).alias("_words")
+        *out,
+        wanted.alias("_wanted"),
+        F.monotonically_increasing_id().alias("_row"),
+        tokens(F.col(text_col)).alias("_words"),
     )
     stats = docs.agg(
         F.struct(
@@ -193,11 +209,11 @@ def search_batch(
     ).scalar()
     # explode_outer: for explode the optimizer adds a filter that would split each text again.
     words = docs.select(
-        key, F.size("_words").alias("length"), F.explode_outer("_words").alias("term")
+        *out, "_wanted", "_row", F.size("_words").alias("length"), F.explode_outer("_words").alias("term")
     )
     postings = (
-        lookup_join(words, vocabulary, "term")
-        .groupBy(key, "length", "term")
+        words.join(vocabulary, "term")
+        .groupBy("_row", "length", "term", "_wanted", *out)
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     # Counting over tf keeps this branch identical to the scored one: postings are built once.
@@ -207,13 +223,18 @@ def search_batch(
         F.col("tf"), F.col("length"), F.col("_stats.mean_length")
     )
     scores = (
-        postings.join(weighted, "term")
+        postings.filter("_wanted")
+        .join(weighted, "term")
         .withColumn("_stats", stats)
-        .groupBy("query_id", key)
-        .agg(F.round(F.sum(part), 6).alias("score"))
+        .groupBy("query_id", "_row", *out)
+        .agg(F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda a, x: a + x).alias("score"))
+    )
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *[F.col(c) for c in out])
+    return (
+        scores.withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k)
+        .select("query_id", *out, F.round("score", 6).alias("score"), "rank")
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(key))
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 # --- substring search ---------------------------------------------------------------------

@@ -14,23 +14,6 @@ SALTS = 32
 _TRACKED_KEYS = 10_000
 
 
-# Rows a lookup table may have to be sent to every executor; at some 100 bytes a row that is
-# about the size Spark broadcasts by itself.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def lookup_join(rows: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
-    """Inner join of many rows with a (usually small) lookup table.
-
-    The lookup is counted first, up to a bound: within it, it is broadcast, so the many rows are
-    not shuffled; beyond it, the join is shuffled and hot keys of ``rows`` are split.
-    """
-    small = lookup.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    if small:
-        return rows.join(F.broadcast(lookup), on)
-    return salted_join(rows, lookup, [on], "inner")
-
-
 def _key_text(keys: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
 

@@ -24,16 +24,6 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer partitions than the session has cores; else change nothing.
-
-    Meant for small inputs in one file or row group, which a single task would read and then also
-    transform. A large table has more partitions than cores and is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _any_null(columns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
 

@@ -81,6 +81,25 @@ def test_extraction_record(turns, lexicons):
     )
 
 
+def test_phrases_of_any_length_and_doses(spark):
+    said = ["Acute myocardial, INFARCTION after 0.5 mg of insulin-glargine.", "Then 12,5 mcg; 3 gx"]
+    turns = spark.createDataFrame(
+        [("c", "in/c", i, "user", t, None) for i, t in enumerate(said)],
+        "file_name string, file_path string, turn int, role string, text string, received_at timestamp",
+    )
+    terms = spark.createDataFrame(
+        [("acute myocardial infarction", "AMI", "Cardiac"), ("myocardial infarction after 0 5 mg", "X", "Y")],
+        "phrase string, preferred_term string, soc_class string",
+    )
+    drugs = spark.createDataFrame([("Insulin Glargine", "Glargine")], "phrase string, drug_name string")
+    one = calls.extract_adverse_events(turns, terms, drugs, key=["file_name"]).first().ae_extraction_json
+    assert [e.meddra_preferred_term for e in one.adverse_events] == ["AMI", "X"]
+    assert one.adverse_events[0].ae_description_verbatim == said[0]
+    assert (one.suspect_drug.drug_name, one.suspect_drug.drug_dose) == ("Glargine", "0.5 mg")
+    late = calls.extract_adverse_events(turns.filter("turn = 1"), terms, drugs, key=["file_name"])
+    assert late.first().ae_extraction_json.suspect_drug.drug_dose == "12,5 mcg"
+
+
 def test_produced_records_are_valid(turns, lexicons):
     checked = calls.validate_records(calls.call_intelligence(turns), calls.INTELLIGENCE_SPEC)
     assert {tuple(r.violations) for r in checked.collect()} == {()}

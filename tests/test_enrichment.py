@@ -110,3 +110,14 @@ def test_pending_narratives(spark, limit):
     done = spark.createDataFrame([("c0",), ("c2",)], "case_id string")
     got = [r.case_id for r in e.pending_narratives(reports, done, limit).collect()]
     assert got == ["c1", "c3", "c4"][:limit]
+
+
+def test_fields_reach_to_their_delimiter(spark):
+    text = (
+        "Patient received insulin glargine 0.5 mg (oral) for pain and developed Crohn's disease "
+        "[type 2] (severity: Severe, seriousness: x) after 3 days. The outcome was not recovered."
+    )
+    row = e.extract_fields(spark.createDataFrame([(text,)], "narrative_text string")).first()
+    found = row.extracted.response
+    assert (found.primary_drug, found.adverse_event) == ("insulin glargine", "Crohn's disease [type 2]")
+    assert (found.severity_assessment, found.patient_outcome) == ("Severe", "not recovered")

@@ -38,6 +38,11 @@ def test_tags(patients, rows):
         ("patient_weight", "HIPAA_CATEGORY", "PHI"),
     ]
     assert tagged.filter("patient_age > 1").select("patient_id").schema[0].metadata["tags"]
+    fact = g.tag_columns(patients.withColumnRenamed("patient_sex", "case_id"), g.FACT_TAGS)
+    both = g.tag_columns(fact, {"case_id": [("HIPAA_CATEGORY", "PII")]})
+    assert rows(g.tag_references(both)) == [
+        ("case_id", "DATA_CLASSIFICATION", "CONFIDENTIAL"), ("case_id", "HIPAA_CATEGORY", "PII"),
+    ]
     with pytest.raises(ValueError, match="not an allowed value"):
         g.tag_column(patients, "patient_id", "HIPAA_CATEGORY", "SECRET")
 
@@ -53,7 +58,8 @@ def test_detected_columns_get_the_strictest_tag(spark, rows):
 
 def test_detection_by_content_and_name(spark, rows):
     df = spark.createDataFrame(
-        [("AB-1", "a@b.org", "x"), ("CD-2", "c@d.org", "y")], "code string, info string, dob string"
+        [("AB-1", "a@b.org", "x", "", "en"), ("CD-2", "c@d.org", "y", "", "de")],
+        "code string, info string, dob string, empty string, language string",
     )
     got = rows(g.classify_columns(df), "column_name", "category", "hit_rate", "name_match")
     assert got == [

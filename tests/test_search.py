@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from medwarden.functions.text import phrases, shorten, tokens
+from medwarden.functions.text import query_terms, shorten, tokens
 from medwarden.operators import search
 
 WORDS = ["rash", "liver", "pain", "mild", "severe", "the", "café", "x1"]
@@ -109,9 +109,41 @@ def test_text_helpers(spark):
     got = df.select(tokens(F.col("t")).alias("w"), shorten(F.col("t")).alias("s")).collect()
     assert got[0].w == ["a", "b", "c", "d"] and got[1].w == [] and got[2].w is None
     assert got[2].s == "" and got[3].s == "x" * 2000 + "..." and got[0].s == "A b-c  d"
-    runs = df.limit(2).select(phrases(tokens(F.col("t")), 3).alias("p")).collect()
-    assert runs[0].p == ["a", "b", "c", "d", "a b", "b c", "c d", "a b c", "b c d"]
-    assert runs[1].p == []
+    assert query_terms(spark, "İlaç b, B") == spark.sql("SELECT 'İlaç b, B' AS t").select(
+        F.array_sort(F.array_distinct(tokens(F.col("t"))))
+    ).first()[0]
+
+
+def test_ranking_uses_unrounded_scores(spark):
+    near = [("a", [1.0, 0.0009]), ("b", [1.0, 0.0])]
+    vectors = spark.createDataFrame(near, "case_id string, embedding array<double>")
+    assert [r.case_id for r in search.vector_search(vectors, [1.0, 0.0]).collect()] == ["b", "a"]
+    # A word in every text still makes every text a hit.
+    n = 4000
+    corpus = spark.range(n).selectExpr("cast(id as string) as case_id", "'same word' as narrative_text")
+    assert search.keyword_search(corpus, "word", limit=n).count() == n
+
+
+def test_batch_search_on_repeated_rows_with_a_filter(spark):
+    data = [("1", "rash and fever", "x"), ("1", "rash and fever", "y"), ("2", "fever", "x"),
+            ("3", "none", "x"), ("4", "rash", None)]
+    corpus = spark.createDataFrame(data, "case_id string, narrative_text string, drug_name string")
+    asked = spark.createDataFrame([(1, "rash"), (2, "fever rash")], "query_id int, query string")
+    got = search.search_batch(corpus, asked, 5, filters={"drug_name": "x"}, cols=["drug_name"]).collect()
+    for query_id, query in [(1, "rash"), (2, "fever rash")]:
+        alone = search.keyword_search(
+            corpus, query, {"drug_name": "x"}, ["case_id", "drug_name"], tie_break=["case_id", "drug_name"]
+        ).collect()
+        batch = [(r.case_id, r.drug_name, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == query_id]
+        assert batch == [tuple(r) for r in alone]
+
+
+def test_fusion_sees_beyond_the_result(spark):
+    words = spark.createDataFrame([(f"w{i}", 9.0 - i) for i in range(4)] + [("both", 1.0)], "case_id string, score double")
+    near = spark.createDataFrame([(f"v{i}", 9.0 - i) for i in range(4)] + [("both", 1.0)], "case_id string, similarity double")
+    assert search.hybrid_search(words, near, k=1).first().case_id == "both"
+    with pytest.raises(ValueError):
+        search.hybrid_search(words, near, k=5, depth=4)
 
 
 def test_linked_events_keep_calls_without_events(spark, rows):

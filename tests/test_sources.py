@@ -94,12 +94,6 @@ def test_catalog_increment_is_oldest_first_and_survives_null_keys(spark):
     assert got == ["f03", "f06", "f09", "f12", "f15", "f18", "f01", "f04", "f07", "f10"]
 
 
-def test_spread_leaves_wide_frames_alone(spark):
-    wide = spark.range(100, numPartitions=16)
-    assert tables.spread(wide) is wide
-    assert tables.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == 4
-
-
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     path = str(tmp_path / "r")
