@@ -1,12 +1,69 @@
-"""The call chain as one job: new recordings to transcripts, records and facts."""
+"""Jobs that rebuild what a batch touches: the call chain, and the search corpus from both sides.
+
+A batch is kept as one ``batch_id`` partition of a history table. Everything of the keys it touches
+is then rebuilt from the whole history and written as the same ``batch_id`` of the results, so rows
+that come late, in whatever order, count as if they had come at once. The rows of a key's latest
+batch are the valid ones (``current``). A retry overwrites its own partitions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from medwarden.operators import calls, silver
-from medwarden.streaming.refresh import CALLS_LAG, start_stream
+from medwarden.operators import calls, search, silver
+from medwarden.streaming.refresh import CALLS_LAG, SEARCH_LAG, start_stream
+
+# Result tables of the call chain and the column that names the recording.
+CALL_TABLES = {
+    "transcriptions": "file_name",
+    "intelligence": "file_name",
+    "ae_extractions": "file_name",
+    "fact_ae_calls": "source_call_id",
+    "fact_agent_compliance": "call_id",
+}
+
+
+def _keep(df: DataFrame, root: str, table: str, batch_id: int) -> DataFrame:
+    path = f"{root}/{table}/batch_id={batch_id}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _history(spark: SparkSession, root: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{table}").withColumn(
+        "batch_id", F.col("batch_id").cast("long")
+    )
+
+
+def _touched(batch: DataFrame, root: str, table: str, key: str, batch_id: int) -> DataFrame:
+    """All rows so far of the keys in the batch, which is added to the history first."""
+    new = _keep(batch, root, table, batch_id)
+    rows = _history(batch.sparkSession, root, table).filter(F.col("batch_id") <= batch_id)
+    return rows.drop("batch_id").join(new.select(key).distinct(), key, "left_semi")
+
+
+def current(
+    spark: SparkSession, root: str, table: str, key: str, history: str, history_key: str
+) -> DataFrame:
+    """Rows of ``table`` from the latest batch that touched their key."""
+    latest = (
+        _history(spark, root, history)
+        .groupBy(F.col(history_key).alias("_key"))
+        .agg(F.max("batch_id").alias("_latest"))
+    )
+    rows = _history(spark, root, table)
+    return rows.join(
+        latest,
+        F.col(key).eqNullSafe(F.col("_key")) & (F.col("batch_id") == F.col("_latest")),
+        "left_semi",
+    ).drop("batch_id")
+
+
+def current_calls(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The valid rows of one of ``CALL_TABLES``."""
+    return current(spark, root, table, CALL_TABLES[table], "turns", "file_name")
 
 
 def refresh_calls(
@@ -23,21 +80,20 @@ def refresh_calls(
 ) -> StreamingQuery:
     """Keep five tables under ``root`` up to date with a stream of speaker turns.
 
-    All turns of a recording arrive in one batch (one file per recording). A batch is one
-    ``batch_id`` partition of every table; records are written before the facts read them, and a
-    retry overwrites its own partitions.
+    The turns of a recording may arrive in any number of batches: all recordings of the file names
+    in a batch are rebuilt from all their turns. Read the tables with ``current_calls``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        rows = _touched(batch, root, "turns", "file_name", batch_id)
+
         def save(df: DataFrame, table: str) -> DataFrame:
-            path = f"{root}/{table}/batch_id={batch_id}"
-            df.write.mode("overwrite").parquet(path)
-            return df.sparkSession.read.schema(df.schema).parquet(path)
+            return _keep(df, root, table, batch_id)
 
-        save(calls.assemble_transcripts(batch), "transcriptions")
-        analyses = save(calls.call_intelligence(batch, call_rules), "intelligence")
+        save(calls.assemble_transcripts(rows), "transcriptions")
+        analyses = save(calls.call_intelligence(rows, call_rules), "intelligence")
         records = save(
-            calls.extract_adverse_events(batch, term_lexicon, drug_lexicon, extraction_rules),
+            calls.extract_adverse_events(rows, term_lexicon, drug_lexicon, extraction_rules),
             "ae_extractions",
         )
         save(silver.fact_agent_compliance(analyses), "fact_agent_compliance")
@@ -45,3 +101,41 @@ def refresh_calls(
 
     writer = turns.writeStream.foreachBatch(write)
     return start_stream(writer, turns.sparkSession, name, lag, checkpoint)
+
+
+_FACT_COLUMNS = ["drug_name", "ae_soc_class", "ae_term", "report_date"]
+
+
+def refresh_search_corpus(
+    narratives: DataFrame,
+    fact: DataFrame,
+    root: str,
+    name: str,
+    lag: str | None = SEARCH_LAG,
+    checkpoint: str | None = None,
+) -> StreamingQuery:
+    """Keep the search corpus up to date with streams of narratives and of report facts.
+
+    A report that comes after its narrative fills in the attributes. Read the corpus with
+    ``current_corpus``.
+    """
+    texts = narratives.select("case_id", "narrative_text").withColumn("is_text", F.lit(True))
+    facts = fact.select("case_id", *_FACT_COLUMNS).withColumn("is_text", F.lit(False))
+    both = texts.unionByName(facts, allowMissingColumns=True)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = _touched(batch, root, "history", "case_id", batch_id)
+        corpus = search.search_corpus(
+            rows.filter("is_text").select("case_id", "narrative_text"),
+            rows.filter("NOT is_text").select("case_id", *_FACT_COLUMNS),
+        )
+        _keep(corpus, root, "corpus", batch_id)
+
+    return start_stream(
+        both.writeStream.foreachBatch(write), narratives.sparkSession, name, lag, checkpoint
+    )
+
+
+def current_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """The valid rows of the search corpus."""
+    return current(spark, root, "corpus", "case_id", "history", "case_id")

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from medwarden.operators import enrichment, health, search, silver
+from medwarden.operators import calls, enrichment, health, search, silver
 from medwarden.schemas import AE_REPORTS
 from medwarden.session import checkpoint_root
 from medwarden.sources import fixtures
@@ -131,24 +131,58 @@ def test_health_stream_matches_batch_for_closed_hours(spark, place, rows, job):
     assert got == rows(closed) and len(got) > 30
 
 
-def test_search_corpus_stays_fresh(spark, place, rows, job):
-    fact = spark.createDataFrame(
-        [("c1", "d", "s", "t", "2024")],
-        "case_id string, drug_name string, ae_soc_class string, ae_term string, "
-        "report_date string",
+def test_search_corpus_stays_fresh_on_both_sides(spark, place, rows, job):
+    fact_schema = "case_id string, drug_name string, ae_soc_class string, ae_term string, report_date date"
+    text_schema = "case_id string, narrative_text string"
+
+    def run(narratives=(), facts=()):
+        for data, schema, table in ((narratives, text_schema, "narr"), (facts, fact_schema, "fact")):
+            write_table(spark.createDataFrame(list(data), schema), place(table), "append")
+        streams = [
+            refresh.table_stream(spark, place(table), spark.createDataFrame([], schema).schema)
+            for table, schema in (("narr", text_schema), ("fact", fact_schema))
+        ]
+        finish(chain.refresh_search_corpus(*streams, place("out"), job, None, place("chk")))
+        return rows(chain.current_corpus(spark, place("out")), "case_id", "drug_name")
+
+    day = dt.date(2024, 1, 1)
+    assert run([("c1", "a"), ("c2", "b")], [("c1", "d", "s", "t", day)]) == [("c1", "d"), ("c2", None)]
+    assert run(facts=[("c2", "late", "s", "t", day)]) == [("c1", "d"), ("c2", "late")]
+    assert run([("c3", "c")]) == [("c1", "d"), ("c2", "late"), ("c3", None)]
+
+
+def test_split_recordings_are_rebuilt(spark, place, rows, job):
+    terms = spark.createDataFrame(
+        [("rash", "Rash", "Skin")], "phrase string, preferred_term string, soc_class string"
     )
-    for case in ("c1", "c2"):
-        row = spark.createDataFrame([(case, "text")], "case_id string, narrative_text string")
-        write_table(row, place("narr"), "append")
-        stream = refresh.table_stream(spark, place("narr"), row.schema)
-        finish(
-            refresh.refresh_joined_stream(
-                stream, lambda b: search.search_corpus(b, fact), place("out"), job, None,
-                place("chk"),
-            )
-        )
-    got = read_table(spark, place("out"))
-    assert rows(got, "case_id", "drug_name") == [("c1", "d"), ("c2", None)]
+    drugs = spark.createDataFrame([("zolina", "Zolina")], "phrase string, drug_name string")
+    schema = (
+        "file_path string, file_name string, received_at timestamp_ntz, turn bigint, "
+        "speaker_label string, text string"
+    )
+    day, said = dt.datetime(2024, 1, 1), []
+
+    def arrive(*turns, again=False):
+        said.extend(turns)
+        frame = spark.createDataFrame([(f"in/{c}", c, day, n, "caller", t) for c, n, t in turns], schema)
+        write_table(frame.coalesce(1), place("turns"), "append")
+        stream = refresh.table_stream(spark, place("turns"), frame.schema)
+        finish(chain.refresh_calls(stream, terms, drugs, place("out"), job, lag=None, checkpoint=place("chk")))
+
+    arrive(("c1", 0, "I took zolina"), ("c2", 0, "rash"))
+    arrive(("c1", 1, "then a rash"), ("c3", 0, "hello"))
+    whole = spark.createDataFrame([(f"in/{c}", c, day, n, "caller", t) for c, n, t in said], schema)
+    want = {
+        "transcriptions": calls.assemble_transcripts(whole),
+        "intelligence": (analyses := calls.call_intelligence(whole)),
+        "ae_extractions": (records := calls.extract_adverse_events(whole, terms, drugs)),
+        "fact_ae_calls": silver.fact_ae_calls(records),
+        "fact_agent_compliance": silver.fact_agent_compliance(analyses),
+    }
+    for table, expected in want.items():
+        got = chain.current_calls(spark, place("out"), table)
+        same = [c for c in expected.columns if not c.endswith(("_at", "_date"))]
+        assert rows(got, *same) == rows(expected, *same)
 
 
 def test_call_chain_equals_batch(spark, place, rows, job):
@@ -174,7 +208,7 @@ def test_call_chain_equals_batch(spark, place, rows, job):
             )
         )
     got = rows(
-        read_table(spark, place("out/fact_ae_calls")), "source_call_id", "drug_name", "data_source"
+        chain.current_calls(spark, place("out"), "fact_ae_calls"), "source_call_id", "drug_name", "data_source"
     )
     assert got == [("c1", "Zolina", "CALL_CENTER"), ("c3", None, "CALL_CENTER")]
     assert read_table(spark, place("out/transcriptions")).count() == 3
