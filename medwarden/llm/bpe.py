@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last bytes picks some of a text's white space as chunk ends, so the same
-passage is cut alike wherever it stands. A task encodes a chunk once and reuses its ids; a chunk it
-has not met is put together from its words, whose ids are kept as well. Where two chunks meet, the
+passage is cut alike wherever it stands. A worker encodes a chunk once and reuses its ids, also for its
+next task; a chunk it has not met is put together from its words, whose ids are kept as well. Where two chunks meet, the
 words around the join are encoded together; if that differs from their own ids, the chunks are
 encoded as one and the next join is tried, until both agree.
 """
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medwarden.llm.common import text_of
+from medwarden.llm.common import kept_in_worker, text_of
 
 # Bytes the rolling hash covers; one white space in CHUNK_WORDS ends a chunk on average.
 HASH_BYTES = 8
 CHUNK_WORDS = 128
-# What a task keeps: words, and bytes of chunks.
-_KEPT_WORDS, _KEPT_LENGTH, _KEPT_BYTES = 300_000, 64, 32_000_000
+# What a worker keeps: words, and bytes of chunks.
+_KEPT_WORDS, _KEPT_LENGTH, _KEPT_BYTES = 600_000, 64, 32_000_000
 _POWERS = np.array([pow(0x01000193, k, 1 << 32) for k in range(HASH_BYTES)], np.uint32)
 _MARKS = b".,;:!?"
 # Bytes cut at once, which bounds the arrays for long texts.
@@ -59,7 +59,7 @@ class Encoded:
 
 
 class Encoder:
-    """One task's tokenizer and what it has encoded so far."""
+    """A worker's tokenizer and what it has encoded so far."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -154,7 +154,7 @@ def bpe_round_trip(
     Equal to the tokenizer's own encode and decode, as long as it has no decoder (tokens are joined
     by a space) and keeps no token across white space; both are checked. A NULL text is encoded as
     empty: no tokens, the hashes of nothing. Repeated rows are encoded alike; an empty table gives
-    no rows. Nothing is shuffled: chunks are shared within a task, as sharing them between tasks
+    no rows. Nothing is shuffled: chunks are shared within a worker, as sharing them between workers
     would move more bytes than the texts have.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -173,7 +173,8 @@ def bpe_round_trip(
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        definition = shared.value
+        encoder = kept_in_worker(("bpe", definition), lambda: Encoder(definition))
         for batch in batches:
             made = [encoder.encode(t.as_py() or b"") for t in batch.column(1)]
             columns = [

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +48,19 @@ def text_of(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
     )
 
 
+def kept_in_worker(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gave in this Python process for ``key``, made at the first call.
+
+    Python workers serve one task after the other, but a task brings its functions' own globals
+    along. So this lives in a module of the process; it holds caches whose size is bounded.
+    """
+    name = "medwarden_kept_in_worker"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 

@@ -7,6 +7,7 @@ The count of a word's best split is kept for the words to come.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -15,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from medwarden.llm.common import SPACE, text_of
+from medwarden.llm.common import SPACE, kept_in_worker, text_of
 
 _WORD = re.compile(f"[^{SPACE}]+")
 MARK = "\u2581"
-# Words and characters of words whose counts a task keeps.
-_KEPT_WORDS, _KEPT_LENGTH = 400_000, 64
+# Words and characters of words whose counts a worker keeps.
+_KEPT_WORDS, _KEPT_LENGTH = 800_000, 64
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -107,6 +108,7 @@ def token_counts(
     table gives no rows. Nothing is shuffled: a task needs only its own texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a tokenizer's fixed vocabulary
+    name = hashlib.sha256(repr(sorted(pieces.items())).encode()).hexdigest()
     rows = text_of(docs, id_col, text_col)
     schema = T.StructType(
         [
@@ -117,7 +119,8 @@ def token_counts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        pieces = shared.value
+        counter = kept_in_worker(("unigram", name), lambda: Counter(pieces))
         for batch in batches:
             made = []
             for text in batch.column(1):
