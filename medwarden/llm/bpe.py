@@ -1,10 +1,10 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last bytes picks some of a text's white space as chunk ends, so the same
-passage is cut alike wherever it stands. A worker encodes a chunk once and reuses its ids, also for its
-next task; a chunk it has not met is put together from its words, whose ids are kept as well. Where two chunks meet, the
-words around the join are encoded together; if that differs from their own ids, the chunks are
-encoded as one and the next join is tried, until both agree.
+passage is cut alike wherever it stands. A worker encodes a chunk once and reuses its ids, also for
+its next task; a chunk it has not met is put together from its words, whose ids are kept as well.
+Where two chunks meet, the words around the join are encoded together; if that differs from their
+own ids, the chunks are encoded as one and the next join is tried, until both agree.
 """
 
 from __future__ import annotations

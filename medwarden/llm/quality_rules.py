@@ -45,7 +45,7 @@ def text_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     """The base counts of every text, as columns beside ``_id`` and ``more``.
 
     Three-word windows are compared by hash: of 64 bits, as many are kept as a position does not
-    need, so two different windows of a text of n words agree with probability n / 2**64 at most.
+    need, so two different windows of a text of n words agree with probability 2n / 2**64 at most.
     Everything stays within the row, so nothing is shuffled.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
