@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from medwarden import schemas
 from medwarden.functions.text import count_words, keep_words, tokens
-from medwarden.operators.skew import salted_join
 from medwarden.sources.files import not_yet_in
 
 Model = Callable[[pd.DataFrame], Sequence]
@@ -175,13 +174,14 @@ def classify_events(
 ) -> DataFrame:
     """All report columns plus the classification of the event term.
 
-    A model is costly per call, so it sees each distinct term once and the answers are joined back.
+    A model is costly per call, so it sees each distinct term once, NULL included, and the answers
+    are joined back; adaptive execution splits the partition of a term of very many reports.
     """
     if model is None:
         return classify_terms(reports, "ae_term", label_lexicon)
     terms = classify_terms(reports.select("ae_term").distinct(), "ae_term", model=model)
-    # A common term can hold a large share of the reports.
-    joined = salted_join(reports, terms, ["ae_term"], "left")
+    terms = terms.withColumnRenamed("ae_term", "_term")
+    joined = reports.join(terms, F.col("ae_term").eqNullSafe(F.col("_term")), "left")
     return joined.select(*reports.columns, "ae_classification")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medwarden.functions.numbers import count_where, is_value, percent
-from medwarden.operators.skew import hot_keys, salted_join
 
 PATIENT_KEY = ["patient_id"]
 DRUG_KEY = ["drug_name", "drug_dose", "drug_route"]
@@ -23,15 +22,12 @@ def analytics_view(
 ) -> DataFrame:
     """Fact with patient age, sex and drug indication.
 
-    A dimension row per matching key is kept, so facts multiply where a key has several rows.
+    A dimension row per matching key is kept, so facts multiply where a key has several rows. The
+    fact is read once; where a key holds many facts, adaptive execution splits its partition.
     """
     patient = patients.select(*PATIENT_KEY, "patient_age", "patient_sex")
     drug = drugs.select(*DRUG_KEY, "indication")
-    rows = salted_join(fact, patient, PATIENT_KEY, "left")
-    # The drug key comes from the fact: its hot keys are found there, not in the joined rows.
-    rows = salted_join(
-        rows, drug, DRUG_KEY, "left", spread_by=fact.columns, hot=hot_keys(fact, DRUG_KEY)
-    )
+    rows = fact.join(patient, PATIENT_KEY, "left").join(drug, DRUG_KEY, "left")
     return rows.select(*fact.columns, "patient_age", "patient_sex", "indication")
 
 
