@@ -150,7 +150,8 @@ def unified_records(
 ) -> DataFrame:
     """Drug, class and source of the records of all sources.
 
-    ``soc_map`` (source_class, unified_class) lines up class names; unmapped ones stay.
+    ``soc_map`` (source_class, unified_class) lines up class names; unmapped ones stay. A repeated
+    source class counts once, with the smallest class it is mapped to.
     """
     rows: DataFrame | None = None
     for name, frame in sources.items():
@@ -161,7 +162,9 @@ def unified_records(
     if soc_map is None:
         return rows
     mapped = rows.join(
-        soc_map.select(F.col("source_class").alias("ae_soc_class"), "unified_class"),
+        soc_map.groupBy(F.col("source_class").alias("ae_soc_class")).agg(
+            F.min("unified_class").alias("unified_class")
+        ),
         "ae_soc_class",
         "left",
     )

@@ -92,27 +92,52 @@ def _parsed(payload: Column) -> Column:
     return F.when(is_array, F.from_json(payload, _PAYLOAD_TYPE))
 
 
-def ingest_json_batches(df: DataFrame, payload_col: str) -> DataFrame:
+def _misfits(record: Column) -> Column:
+    """Names of the fields whose text does not fit the column's type."""
+    typed = [f for f in _PAYLOAD_FIELDS if not isinstance(f.dataType, T.StringType)]
+    value = {f.name: record[f.name] for f in typed}
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(value[f.name].isNotNull() & value[f.name].try_cast(f.dataType).isNull(), F.lit(f.name))
+                for f in typed
+            ]
+        )
+    )
+
+
+def ingest_json_batches(df: DataFrame, payload_col: str, strict: bool = False) -> DataFrame:
     """One typed report row per record of each payload. Payloads that do not parse give none.
 
-    A value that does not fit its column type fails the job, as a cast does.
+    A record with a value that does not fit its column is left out and found by
+    ``rejected_batches``; with ``strict`` it fails the job, as a cast does.
     """
     # explode_outer: for explode the optimizer adds a filter that would parse each payload again.
     records = df.select(F.explode_outer(_parsed(F.col(payload_col))).alias("r"))
-    return records.filter(F.col("r").isNotNull()).select(
+    records = records.filter(F.col("r").isNotNull())
+    if not strict:
+        records = records.filter(F.size(_misfits(F.col("r"))) == 0)
+    return records.select(
         *[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in _PAYLOAD_FIELDS]
     )
 
 
 def rejected_batches(df: DataFrame, payload_col: str) -> DataFrame:
-    """The payloads that ``ingest_json_batches`` skips, with the reason."""
+    """The payloads that ``ingest_json_batches`` skips, with the reason.
+
+    A payload appears once for each of its records that has values that do not fit.
+    """
     payload = F.col(payload_col)
     reason = (
         F.when(payload.isNull(), "missing")
         .when(F.try_parse_json(payload).isNull(), "invalid json")
         .otherwise("not an array of records")
     )
-    return df.filter(_parsed(payload).isNull()).withColumn("reason", reason)
+    whole = df.filter(_parsed(payload).isNull()).withColumn("reason", reason)
+    records = df.withColumn("_r", F.explode_outer(_parsed(payload)))
+    records = records.withColumn("_bad", _misfits(F.col("_r"))).filter(F.size("_bad") > 0)
+    why = F.concat(F.lit("does not fit: "), F.array_join("_bad", ", "))
+    return whole.unionByName(records.withColumn("reason", why).drop("_r", "_bad"))
 
 
 # --- sinks --------------------------------------------------------------------------------

@@ -62,7 +62,15 @@ def test_json_batches_and_rejects(spark, rows):
 def test_bad_value_fails_like_a_cast(spark):
     df = spark.createDataFrame([(json.dumps([record("c", patient_age="old")]),)], "p string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        tables.ingest_json_batches(df, "p").collect()
+        tables.ingest_json_batches(df, "p", strict=True).collect()
+
+
+def test_bad_values_are_rejected_and_the_rest_goes_on(spark, rows):
+    both = json.dumps([record("c1", patient_age="old", report_date="soon"), record("c2", patient_age=3)])
+    df = spark.createDataFrame([("x", both)], "name string, payload string")
+    assert rows(tables.ingest_json_batches(df, "payload"), "case_id", "patient_age") == [("c2", 3)]
+    bad = tables.rejected_batches(df, "payload").collect()
+    assert [(r.name, r.reason) for r in bad] == [("x", "does not fit: patient_age, report_date")]
 
 
 def test_sinks_overwrite_append_and_count(spark, tmp_path):
