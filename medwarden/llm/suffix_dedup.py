@@ -36,6 +36,9 @@ BITMAP_BITS, _BUCKET = 1 << 27, 32768
 _BLOCK = 1 << 19
 # Bytes of segments sorted at once; the versions of one anchor stay together.
 _SORTED = 1 << 20
+# Versions of one anchor that are sorted in one task. An anchor of more, at the edge of a passage
+# that very many texts share, has its strings counted one by one, all over the cluster.
+SORTED_VERSIONS = 20_000
 # Texts a task remembers to skip further copies of.
 _SEEN = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -268,6 +271,35 @@ def _sort_versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield sorted_out(held)
 
 
+def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, segment, at, h1, h2) for every string that starts in a version."""
+    for batch in batches:
+        for key, segment, _, starts, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            made = [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(starts)]
+            halves = np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+            yield pa.record_batch(
+                [pa.array([key] * starts, pa.int64()), pa.array([segment] * starts, pa.int64()),
+                 pa.array(range(starts), pa.int32()), pa.array(halves[:, 0].copy()),
+                 pa.array(halves[:, 1].copy())],
+                names=["key", "segment", "at", "h1", "h2"],
+            )
+
+
+def _counted_versions(versions: DataFrame) -> DataFrame:
+    """The same as ``_sort_versions`` gives, from counts of every single string."""
+    strings = stage(
+        versions.mapInArrow(_string_hashes, "key bigint, segment bigint, at int, h1 bigint, h2 bigint"),
+        "strings",
+    )
+    again = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    one = F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    return (
+        strings.join(again, ["h1", "h2"], "left_semi")
+        .groupBy("key", "segment")
+        .agg(F.sort_array(F.collect_list(one)).alias("ranges"))
+    )
+
+
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(u1, u2, ranges): sorted (first, last) starts of strings that start elsewhere too.
 
@@ -289,10 +321,17 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         written.filter(F.col("bytes").isNotNull())
         .groupBy("key", "segment")
         .agg(F.first("anchor").alias("anchor"), F.first("starts").alias("starts"), F.first("bytes").alias("bytes"))
-        .repartition("key")
-        .sortWithinPartitions("key")
     )
-    partly = stage(versions.mapInArrow(_sort_versions, _FOUND), "ranges")
+    hot = keys.filter(F.col("versions") > SORTED_VERSIONS).select("key")
+    if hot.isEmpty():
+        sorted_, counted = versions, None
+    else:
+        versions = stage(versions, "versions")
+        sorted_, counted = (versions.join(hot, "key", how) for how in ("left_anti", "left_semi"))
+    partly = sorted_.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_versions, _FOUND)
+    if counted is not None:
+        partly = partly.unionByName(_counted_versions(counted))
+    partly = stage(partly, "ranges")
     whole = places.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     verdict = partly.join(whole, ["key", "segment"], "full").select(
         "key", "segment", (F.col("n") > 1).alias("all"), "ranges"

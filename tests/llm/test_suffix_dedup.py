@@ -90,6 +90,20 @@ def test_odd_tables(spark):
     assert suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_hot_anchors_are_counted(spark, monkeypatch):
+    from medwarden.llm import suffix_dedup as S
+
+    monkeypatch.setattr(S, "SORTED_VERSIONS", 3)
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh ", k=500))
+    docs = [
+        (i, "".join(rng.choices("xyz ", k=150)) + passage + "".join(rng.choices("xyz ", k=rng.randrange(9))))
+        for i in range(12)
+    ]
+    docs += [(20, passage[:260] + "#" + passage[261:]), (21, passage[:260] + "+" + passage[261:])]
+    assert got(spark.createDataFrame(docs, "doc_id bigint, text string")) == brute(docs)
+
+
 def test_long_texts_are_cut_into_blocks(spark, monkeypatch):
     from medwarden.llm import suffix_dedup as S
 
