@@ -82,11 +82,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.sort_array(F.collect_list("pos")).alias("at")),  # lines of one document
         "placed",
     )
-    recurring = (
+    # Written down, so that the join below deals both sides anew and can split a hot template.
+    recurring = stage(
         placed.groupBy("template", "n")
         .agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("_id", F.col("at")[0])).alias("first"))
         .filter((F.col("docs") > 1) & (F.col("docs") * F.col("n") >= WEIGHT))
-        .select("template", "n", F.col("first._id").alias("keeper"))
+        .select("template", "n", F.col("first._id").alias("keeper")),
+        "recurring",
     )
     here = F.col("_id").eqNullSafe(F.col("keeper"))
     late = F.when(here, F.expr("slice(at, 2, size(at))")).otherwise(F.col("at"))
