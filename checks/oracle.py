@@ -218,10 +218,12 @@ EVENTS = """calls_log AS (
 
 
 def _transcripts(line: str, ending: str) -> str:
+    said = "text" if line == "text" else "concat(role, '|', text)"
     return f"""SELECT concat('calls/call_', cast(conv_id AS varchar), '.{ending}') AS file_path,
       concat('call_', cast(conv_id AS varchar), '.{ending}') AS file_name,
       cast(date '2024-01-01' + cast(conv_id % 365 AS integer) AS timestamp) AS received_at,
-      string_agg({line}, chr(10) ORDER BY turn) AS text, cast(count(*) AS integer) AS n_segments
+      string_agg({line}, chr(10) ORDER BY turn) AS text, cast(count(*) AS integer) AS n_segments,
+      string_agg(concat(turn, '|', {said}), chr(10) ORDER BY turn) AS segments
     FROM conversations GROUP BY conv_id"""
 
 

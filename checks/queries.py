@@ -198,12 +198,15 @@ def enrich_narratives(spark, d):
 
 def _transcript_rows(transcripts: DataFrame) -> DataFrame:
     result = "transcription_result."
+    element = transcripts.schema["transcription_result"].dataType["segments"].dataType.elementType
+    segment = lambda s: F.concat_ws("|", *[s[name].cast("string") for name in element.names])
     return transcripts.select(
         "file_path",
         "file_name",
         "received_at",
         F.col(result + "text").alias("text"),
         F.size(result + "segments").alias("n_segments"),
+        F.array_join(F.transform(result + "segments", segment), "\n").alias("segments"),
     )
 
 
