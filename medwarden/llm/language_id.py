@@ -187,8 +187,14 @@ def _top(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
     ).filter(F.col("_r") <= most)
 
 
+def _kept(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """All languages' counts of the entries that are among the ``most`` frequent of any group."""
+    return counts.join(_top(counts, keys, most).select("word").distinct(), "word", "left_semi")
+
+
 def fit(rows: DataFrame) -> Model:
-    """Model of (text, lang) rows. Every row is counted; only the most frequent entries are kept."""
+    """Model of (text, lang) rows. Every row is counted; only the most frequent entries of each
+    language are kept, with their counts in every language."""
     counted = stage(
         rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
         .select("text", F.col("lang").cast("string").alias("lang"))
@@ -210,12 +216,12 @@ def fit(rows: DataFrame) -> Model:
     langs = sorted(totals)
     wanted = F.col("lang").isin(langs)
     # Frequency ranks of words with one row per language fit by design: MAX_WORDS each.
-    known = _logs(_top(counted.filter(wanted), ["lang"], MAX_WORDS).collect(), langs, totals)
+    known = _logs(_kept(counted.filter(wanted), ["lang"], MAX_WORDS).collect(), langs, totals)
     gram_totals = defaultdict(dict)
     for r in spelled.filter(wanted).groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
         gram_totals[r["size"]][r.lang] = int(r.n)
     by_size = defaultdict(list)
-    for r in _top(spelled.filter(wanted), ["lang", "size"], MAX_GRAMS).collect():
+    for r in _kept(spelled.filter(wanted), ["lang", "size"], MAX_GRAMS).collect():
         by_size[r["size"]].append(r)
     grams_known = {}
     for size, found in by_size.items():

@@ -1,5 +1,6 @@
 import zlib
 
+from medwarden.llm import language_id as L
 from medwarden.llm.language_id import Model, fit, language_id, words
 
 SF = "/root/testdata/sf0.01"
@@ -41,3 +42,11 @@ def test_odd_tables(spark, rows):
 def test_words():
     assert words("Él-la 12 a_b") == ["él", "la", "a", "b"]
     assert words("a½b ²") == ["a", "b"]
+
+
+def test_a_word_below_the_cut_of_a_language_keeps_its_count_there(spark, monkeypatch):
+    # "cc" is the third word of "big" and was once quoted in "small".
+    monkeypatch.setattr(L, "MAX_WORDS", 2)
+    data = [("aa " * 50 + "bb " * 40 + "cc " * 30, "big"), ("dd " * 60 + "cc", "small")]
+    model = fit(spark.createDataFrame(data, "text string, lang string"))
+    assert model.predict("cc")[0] == "big" and model.predict("dd")[0] == "small"
