@@ -26,12 +26,17 @@ WEIGHT = 100
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, pos, n, leaf, fields) of every line with a token; digits make a token variable."""
-    rows = text_of(docs, id_col, text_col).select("_id", F.posexplode(F.split("_text", "\n")).alias("pos", "_l"))
+    """(_id, _h, pos, n, leaf, fields) of every line with a token; digits make a token variable.
+
+    ``_h``, the hash of the text, tells texts of equal id apart.
+    """
+    rows = text_of(docs, id_col, text_col).select(
+        "_id", F.xxhash64("_text").alias("_h"), F.posexplode(F.split("_text", "\n")).alias("pos", "_l")
+    )
     line = trimmed(F.col("_l"))
     line = F.when(line.rlike(f"[{SPACE}]{{2}}|[\\x09-\\x0D]"), F.regexp_replace(line, f"[{SPACE}]+", " ")).otherwise(line)
     line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line)
-    rows = rows.select("_id", "pos", F.explode(F.array(F.split(line, " "))).alias("_t")).filter(
+    rows = rows.select("_id", "_h", "pos", F.explode(F.array(F.split(line, " "))).alias("_t")).filter(
         F.get("_t", F.lit(0)) != ""
     )
     n = F.size("_t")
@@ -44,6 +49,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     return rows.select(
         "_id",
+        "_h",
         "pos",
         n.alias("n"),
         F.xxhash64(n, F.array_join(F.slice("_t", 1, DEPTH), " ")).alias("leaf"),
@@ -52,12 +58,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, drop): the positions of the lines to drop, for documents that have any."""
+    """(_id, _h, drop): the positions of the lines to drop, for documents that have any."""
     lines = stage(_lines(docs, id_col, text_col), "lines")
     # A line counts once a document, so a hot line is one row a document from here on.
-    each = lines.groupBy("leaf", "fields", "_id").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
+    each = lines.groupBy("leaf", "fields", "_id", "_h").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     kinds = each.groupBy("leaf", "fields").agg(
-        F.count(F.lit(1)).alias("docs"), F.min(F.struct("_id", "pos")).alias("first"), F.first("n").alias("n")
+        F.count(F.lit(1)).alias("docs"), F.min(F.struct("_id", "_h", "pos")).alias("first"), F.first("n").alias("n")
     )
     usual = kinds.groupBy("leaf").agg(
         F.min(F.struct((-F.col("docs")).alias("docs"), "first", "fields"))["fields"].alias("usual"),
@@ -78,24 +84,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     placed = stage(
         lines.drop("n").join(template, ["leaf", "fields"])
-        .groupBy("template", "n", "_id")
-        .agg(F.sort_array(F.collect_list("pos")).alias("at")),  # lines of one document
+        .groupBy("template", "n", "_id", "_h")
+        # Lines of one document, once where its row is repeated.
+        .agg(F.sort_array(F.array_distinct(F.collect_list("pos"))).alias("at")),
         "placed",
     )
     # Written down, so that the join below deals both sides anew and can split a hot template.
     recurring = stage(
         placed.groupBy("template", "n")
-        .agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("_id", F.col("at")[0])).alias("first"))
+        .agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("_id", "_h", F.col("at")[0])).alias("first"))
         .filter((F.col("docs") > 1) & (F.col("docs") * F.col("n") >= WEIGHT))
-        .select("template", "n", F.col("first._id").alias("keeper")),
+        .select("template", "n", F.col("first._id").alias("keeper"), F.col("first._h").alias("keeper_h")),
         "recurring",
     )
-    here = F.col("_id").eqNullSafe(F.col("keeper"))
+    here = F.col("_id").eqNullSafe(F.col("keeper")) & (F.col("_h") == F.col("keeper_h"))
     late = F.when(here, F.expr("slice(at, 2, size(at))")).otherwise(F.col("at"))
     return (
         placed.join(recurring, ["template", "n"])
-        .select("_id", F.explode(late).alias("pos"))
-        .groupBy("_id")
+        .select("_id", "_h", F.explode(late).alias("pos"))
+        .groupBy("_id", "_h")
         .agg(F.collect_list("pos").alias("drop"))
     )
 
@@ -103,14 +110,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with recurring lines gone from the text, and ``n_lines`` and ``n_dropped``.
 
-    Rows of equal id, NULL included, are one document. Lines without a token stay. NULL texts stay
+    Rows of equal id, NULL included, and equal text are one document. Lines without a token stay. NULL texts stay
     NULL and empty ones empty, with no lines dropped. The first place of a template is that of the
-    smallest id. An empty table gives no rows. Columns of ``docs`` called like the two counts are
+    smallest id, and of its texts that of the smallest hash; every repeated row of it keeps it. An empty table gives no rows. Columns of ``docs`` called like the two counts are
     replaced.
     """
-    drop = dropped_lines(docs, id_col, text_col).select(F.col("_id").alias("_drop_id"), "drop")
+    drop = dropped_lines(docs, id_col, text_col).select(F.col("_id").alias("_drop_id"), F.col("_h").alias("_drop_h"), "drop")
     rows = docs.drop("n_lines", "n_dropped").join(
-        drop, F.col(id_col).eqNullSafe(F.col("_drop_id")), "left"
+        drop,
+        F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.xxhash64(text_col) == F.col("_drop_h")),
+        "left",
     )
     lines = F.split(F.col(text_col), "\n")
     stay = F.transform(
@@ -127,7 +136,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
         .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size(F.array_intersect("drop", F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1))), F.lit(0)).cast("long"))
-        .drop("_lines", "drop", "_drop_id")
+        .drop("_lines", "drop", "_drop_id", "_drop_h")
     )
 
 

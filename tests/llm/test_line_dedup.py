@@ -45,3 +45,14 @@ def test_odd_tables(spark):
     assert found[3] == ("", 1, 1) and found[5] == ("x", 3, 2)
     assert L.line_dedup(df.limit(0)).count() == 0
     assert L.report(df).filter("doc_id = 2").first().kept_sha256 == hashlib.sha256().hexdigest()
+
+
+def test_repeated_keeper_and_shared_ids(spark):
+    # The keeper's row twice, two texts of one id, and two texts without an id.
+    other = " ".join(w[::-1] for w in LONG.split())
+    data = [(1, f"a\n{LONG}"), (1, f"a\n{LONG}"), (2, f"{LONG}\nb"), (3, "own\nlast"), (3, f"{LONG}\nc"),
+            (None, f"d\n{other}"), (None, "e\nf"), (4, other)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in L.line_dedup(df).collect())
+    assert got == [(0, f"d\n{other}"), (0, "e\nf"), (1, f"a\n{LONG}"), (1, f"a\n{LONG}"), (2, "b"), (3, "c"),
+                   (3, "own\nlast"), (4, "")]
