@@ -8,12 +8,16 @@ import types
 import uuid
 from collections.abc import Callable, Hashable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 
+# Bits of a bitmap of hashes, however many hashes there are, in buckets of Spark's bitmap functions.
+BITMAP_BITS, _BUCKET = 1 << 27, 32768
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,11 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``options`` are those of the writer.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,3 +78,24 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(clean) > 0, F.split(clean, f"[{SPACE}]+")).otherwise(
         F.array().cast("array<string>")
     )
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """``BITMAP_BITS`` bits with those of the hashes ``key`` set: what the driver gets is bounded."""
+    bit = F.pmod("key", F.lit(BITMAP_BITS))
+    rows = (
+        keys.select(bit.alias("bit"))
+        .groupBy(F.floor(F.col("bit") / _BUCKET).alias("bucket"))
+        .agg(F.bitmap_construct_agg((F.col("bit") % _BUCKET).cast("long")).alias("bits"))
+        .collect()
+    )
+    bits = np.zeros((BITMAP_BITS // _BUCKET, _BUCKET // 8), np.uint8)
+    for r in rows:
+        bits[r.bucket] = np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
+
+
+def bits_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes are set in ``bits``: all that were put in, and few others."""
+    at = keys.view(np.int64) & (BITMAP_BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

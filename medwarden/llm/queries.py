@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from medwarden.llm import (
     bpe,
+    collocations,
     decontaminate,
     language_id,
     line_dedup,
@@ -68,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), pieces)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -79,9 +84,11 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
