@@ -11,11 +11,13 @@ from medwarden.llm import (
     bpe,
     collocations,
     decontaminate,
+    jaccard,
     language_id,
     line_dedup,
     quality_rules,
     secret_scan,
     simhash,
+    spelling,
     suffix_dedup,
     token_counts,
     url_filter,
@@ -73,6 +75,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -85,10 +95,13 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
     "op11_collocations": op11_collocations,
+    "op12_jaccard": op12_jaccard,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op12_jaccard": jaccard.ORACLE,
 }
