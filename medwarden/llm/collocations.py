@@ -8,8 +8,9 @@
    phrase to the left, those of the interval kept beside it in ``rbwt`` extend it to the right:
    words grow to pairs, and pairs to their left and right extensions, each with its count.
 3. Counts are summed across shards level by level. What stays below ``MIN_COUNT`` is not extended
-   again: bitmaps of fixed size tell the shards what is frequent. They may let more through as they
-   fill up, but never less, and the sums decide.
+   again: bitmaps of fixed size tell the shards what is frequent. Pairs, which are many, are summed
+   by their hashes for that. Bitmaps and hashes may let more through, but never less; the sums over
+   the words themselves decide.
 
 Texts are read once; later steps read the stored indexes.
 """
@@ -34,9 +35,11 @@ DEPTH = 3
 ABSORBED = 50
 SCALE = 1_000_000
 # Words a task holds, over all languages, before it closes its largest shard.
-SHARD = 1 << 21
+SHARD = 1 << 20
 # Stored indexes a file holds, so that what is read at once is bounded.
-_PER_FILE = 8
+_PER_FILE = 4
+# Rows of a batch.
+_ROWS = 1 << 16
 # Between pieces; no UTF-8 text has this byte.
 _END = b"\xff"
 _MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", _END * 10 + b" ")
@@ -137,24 +140,11 @@ def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash of each row (lang, word) or (lang, word, word)."""
+    """Hash of each row (lang, word)."""
     for batch in batches:
-        langs = batch.column(0).to_pylist()
-        made = []
-        for column in batch.columns[1:]:
-            made.append(
-                np.fromiter(
-                    (_hash([w.encode()], x)[0] for w, x in zip(column.to_pylist(), langs, strict=True)),
-                    np.uint64,
-                    batch.num_rows,
-                )
-            )
-        h = made[0] if len(made) == 1 else _pair_hash(*made)
-        yield pa.record_batch([pa.array(h.view(np.int64))], names=["key"])
-
-
-def _frequent(counted: DataFrame, *words: str) -> np.ndarray:
-    return bitmap(counted.select("lang", *words).mapInArrow(_keys, "key bigint"))
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        made = np.fromiter((_hash([w.encode()], lang)[0] for lang, w in rows), np.uint64, batch.num_rows)
+        yield pa.record_batch([pa.array(made.view(np.int64))], names=["key"])
 
 
 class _Opened:
@@ -210,25 +200,34 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Opened]]:
 _STORED = ["lang", "words", "bwt", "rbwt"]
 
 
-def pair_counts(index: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(lang, w1, w2, f) of the pairs of two frequent words, summed across shards."""
-    shared = index.sparkSession.sparkContext.broadcast(frequent)
+def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.record_batch(columns, names=names)
+    for start in range(0, whole.num_rows, _ROWS):
+        yield whole.slice(start, _ROWS)
+
+
+def frequent_pairs(index: DataFrame, words: np.ndarray, min_count: int) -> np.ndarray:
+    """Bitmap of the hashes of pairs of frequent words that occur ``min_count`` times, and few more."""
+    shared = index.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, shard in _opened(batches):
+        for _, shard in _opened(batches):
             use = shard.pairs(shared.value)
-            left, right = (shard.words.take(pa.array(x[use])) for x in (shard.left, shard.right))
-            n = pa.array(shard.count[use], pa.int64())
-            yield pa.record_batch([pa.repeat(lang, len(n)), left, right, n], names=["lang", "w1", "w2", "n"])
+            key = _pair_hash(shard.hash[shard.left[use]], shard.hash[shard.right[use]])
+            yield from _sliced([pa.array(key.view(np.int64)), pa.array(shard.count[use], pa.int64())], ["key", "n"])
+
+    made = index.select(*_STORED).mapInArrow(run, "key bigint, n bigint")
+    return bitmap(made.groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
 
-    made = index.select(*_STORED).mapInArrow(run, "lang string, w1 string, w2 string, n bigint")
-    return made.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("f"))
 
+_NAMED = "lang string, w1 string, w2 string, before boolean, word string, n bigint"
 
-def extension_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(lang, w1, w2, before, word, f): words that stand before or after frequent pairs.
 
-    Only where the other pair of the three words is frequent too.
+def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """(lang, w1, w2, before, word, f) of frequent pairs, and of the words that extend them.
+
+    ``before`` and ``word`` are NULL for the pair itself. A word extends a pair if the other pair
+    of the three words is frequent, too.
     """
     shared = index.sparkSession.sparkContext.broadcast((words, pairs))
 
@@ -240,25 +239,25 @@ def extension_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray) ->
             known[known] = bits_set(usual_pairs, _pair_hash(h[shard.left[known]], h[shard.right[known]]))
             pair = np.flatnonzero(known)
             ahead, back = shard.starts()
-            before = shard.extended(
-                shard.bwt, pair, ahead,
-                lambda word, p: bits_set(usual_pairs, _pair_hash(h[word], h[shard.left[p]])),
-            )
-            after = shard.extended(
-                shard.rbwt, pair, back,
-                lambda word, p: bits_set(usual_pairs, _pair_hash(h[shard.right[p]], h[word])),
-            )
-            for is_before, (p, word, n) in ((True, before), (False, after)):
-                at = (shard.left[p], shard.right[p], word)
-                w1, w2, other = (shard.words.take(pa.array(x)) for x in at)
-                size = len(n)
-                yield pa.record_batch(
-                    [pa.repeat(lang, size), w1, w2, pa.repeat(is_before, size), other, pa.array(n, pa.int64())],
-                    names=["lang", "w1", "w2", "before", "word", "n"],
-                )
-
-    schema = "lang string, w1 string, w2 string, before boolean, word string, n bigint"
-    made = index.select(*_STORED).mapInArrow(run, schema)
+
+            def named(before: bool | None, p: np.ndarray, word: np.ndarray | None, n: np.ndarray):
+                w1, w2 = (shard.words.take(pa.array(x[p])) for x in (shard.left, shard.right))
+                other = pa.nulls(len(p), pa.string()) if word is None else shard.words.take(pa.array(word))
+                is_before = pa.array([before] * len(p), pa.bool_())
+                columns = [pa.repeat(lang, len(p)), w1, w2, is_before, other, pa.array(n, pa.int64())]
+                return _sliced(columns, ["lang", "w1", "w2", "before", "word", "n"])
+
+            def usual_before(word: np.ndarray, p: np.ndarray) -> np.ndarray:
+                return bits_set(usual_pairs, _pair_hash(h[word], h[shard.left[p]]))
+
+            def usual_after(word: np.ndarray, p: np.ndarray) -> np.ndarray:
+                return bits_set(usual_pairs, _pair_hash(h[shard.right[p]], h[word]))
+
+            yield from named(None, pair, None, shard.count[pair])
+            yield from named(True, *shard.extended(shard.bwt, pair, ahead, usual_before))
+            yield from named(False, *shard.extended(shard.rbwt, pair, back, usual_after))
+
+    made = index.select(*_STORED).mapInArrow(run, _NAMED)
     return made.groupBy("lang", "w1", "w2", "before", "word").agg(F.sum("n").alias("f"))
 
 
@@ -299,10 +298,11 @@ def collocations(
     )
     total = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     word = counted.filter(F.col("f") >= min_count)
-    words = _frequent(word, "word")
-    pair = stage(pair_counts(index, words).filter(F.col("f") >= min_count), "pairs")
-    pairs = _frequent(pair, "w1", "w2")
-    more = stage(extension_counts(index, words, pairs).filter(F.col("f") >= min_count), "extensions")
+    words = bitmap(word.select("lang", "word").mapInArrow(_keys, "key bigint"))
+    pairs = frequent_pairs(index, words, min_count)
+    grown = stage(phrase_counts(index, words, pairs).filter(F.col("f") >= min_count), "phrases")
+    pair = grown.filter(F.col("word").isNull()).select("lang", "w1", "w2", "f")
+    more = grown.filter(F.col("word").isNotNull())
 
     def ones(name: str, f: str) -> DataFrame:
         return word.select("lang", F.col("word").alias(name), F.col("f").alias(f))
