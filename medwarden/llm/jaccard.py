@@ -293,12 +293,18 @@ def _upto(count: Column, make: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), make)
 
 
+def _rooted(edges: DataFrame) -> DataFrame:
+    """(node, root) of the components of ``edges``, the roots included."""
+    hung = components(edges)
+    return hung.union(hung.select("root", "root").distinct())
+
+
 def set_links(marked: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """Links (u, v) of digests, enough to connect all sets of ``marked`` that links connect."""
     keys = marked.select(F.explode("keys").alias("key"), "node")
     chain = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
     met = keys.withColumn("u", chain).filter(F.col("u") < F.col("node"))
-    clusters = components(met.select("u", F.col("node").alias("v"))).select("node", F.col("root").alias("cluster"))
+    clusters = _rooted(met.select("u", F.col("node").alias("v"))).withColumnRenamed("root", "cluster")
     members = stage(
         marked.filter(F.col("node").isNotNull())
         .groupBy("digest")
@@ -326,7 +332,7 @@ def set_links(marked: DataFrame, docs: DataFrame, text_col: str, words: int, per
     wide = counted.filter(F.col("blocks") > 1).drop("blocks", "block")
     if wide.isEmpty():
         return first
-    comps = components(first).select(F.col("node").alias("digest"), F.col("root").alias("label"))
+    comps = _rooted(first).select(F.col("node").alias("digest"), F.col("root").alias("label"))
     labelled = wide.join(comps, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     shares = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = shares.groupBy("cluster").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
@@ -363,7 +369,7 @@ def jaccard_groups(
     if not 50 < percent < 100:
         raise ValueError("percent must lie between 50 and 100")
     marked = stage(sets(docs, id_col, text_col, words, percent), "sets")
-    roots = components(set_links(marked, docs, text_col, words, percent))
+    roots = _rooted(set_links(marked, docs, text_col, words, percent))
     rows = marked.select("_id", "digest", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     rows = rows.withColumn("root", F.coalesce("root", "digest"))
     named = rows.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("_id").alias("component_id"))
