@@ -6,11 +6,11 @@
    ``DEPTH`` words only.
 2. Words are counted from the shards' counts. The words of an interval in ``bwt`` extend its
    phrase to the left, those of the interval kept beside it in ``rbwt`` extend it to the right:
-   words grow to pairs, and pairs to their left and right extensions, each with its count.
+   words grow to pairs, and pairs to three words, each with its count.
 3. Counts are summed across shards level by level. What stays below ``MIN_COUNT`` is not extended
-   again: bitmaps of fixed size tell the shards what is frequent. Pairs, which are many, are summed
-   by their hashes for that. Bitmaps and hashes may let more through, but never less; the sums over
-   the words themselves decide.
+   again: bitmaps of fixed size tell the shards what is frequent. Longer phrases, which are many,
+   are summed by their hashes for that. Bitmaps and hashes may let more through, but never less;
+   the sums over the words themselves decide.
 
 Texts are read once; later steps read the stored indexes.
 """
@@ -35,7 +35,7 @@ DEPTH = 3
 ABSORBED = 50
 SCALE = 1_000_000
 # Words a task holds, over all languages, before it closes its largest shard.
-SHARD = 1 << 20
+SHARD = 3 << 19
 # Stored indexes a file holds, so that what is read at once is bounded.
 _PER_FILE = 4
 # Rows of a batch.
@@ -124,7 +124,7 @@ def indexes(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         F.encode(F.col(text_col), "utf-8").alias("text"),
     ).filter(F.col("text").isNotNull())
     made = rows.mapInArrow(_indexed, _INDEX)
-    return stage(made, "indexes", maxRecordsPerFile=_PER_FILE)
+    return stage(made, "indexes", maxRecordsPerFile=_PER_FILE, compression="zstd")
 
 
 def _hash(words: list[bytes], lang: str) -> np.ndarray:
@@ -160,6 +160,7 @@ class _Opened:
         first = np.repeat(np.arange(size, dtype=np.int64), counts)
         made, self.count = np.unique(first * size + self.bwt, return_counts=True)
         self.right, self.left = np.divmod(made, size)
+        self.pair_hash = _pair_hash(self.hash[self.left], self.hash[self.right])
 
     def pairs(self, frequent: np.ndarray) -> np.ndarray:
         """Which of the pairs have two frequent words."""
@@ -206,59 +207,68 @@ def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatc
         yield whole.slice(start, _ROWS)
 
 
-def frequent_pairs(index: DataFrame, words: np.ndarray, min_count: int) -> np.ndarray:
-    """Bitmap of the hashes of pairs of frequent words that occur ``min_count`` times, and few more."""
-    shared = index.sparkSession.sparkContext.broadcast(words)
+def _frequent(index: DataFrame, min_count: int, held: tuple, hashes: Callable) -> np.ndarray:
+    """Bitmap of the phrase hashes that ``hashes`` finds ``min_count`` times in all, and few more."""
+    shared = index.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, shard in _opened(batches):
-            use = shard.pairs(shared.value)
-            key = _pair_hash(shard.hash[shard.left[use]], shard.hash[shard.right[use]])
-            yield from _sliced([pa.array(key.view(np.int64)), pa.array(shard.count[use], pa.int64())], ["key", "n"])
+            key, n = hashes(shard, *shared.value)
+            yield from _sliced([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
     made = index.select(*_STORED).mapInArrow(run, "key bigint, n bigint")
     return bitmap(made.groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
 
 
-_NAMED = "lang string, w1 string, w2 string, before boolean, word string, n bigint"
+def _pair_hashes(shard: _Opened, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    use = shard.pairs(words)
+    return shard.pair_hash[use], shard.count[use]
 
 
-def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(lang, w1, w2, before, word, f) of frequent pairs, and of the words that extend them.
+def _usual_pairs(shard: _Opened, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    known = shard.pairs(words)
+    known[known] = bits_set(pairs, shard.pair_hash[known])
+    return np.flatnonzero(known)
 
-    ``before`` and ``word`` are NULL for the pair itself. A word extends a pair if the other pair
-    of the three words is frequent, too.
-    """
-    shared = index.sparkSession.sparkContext.broadcast((words, pairs))
+
+def _triple_hashes(shard: _Opened, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent pairs, extended to the right where the pair this makes is frequent, too."""
+    h = shard.hash
+
+    def usual(word: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return bits_set(pairs, _pair_hash(h[shard.right[p]], h[word]))
+
+    _, back = shard.starts()
+    p, word, n = shard.extended(shard.rbwt, _usual_pairs(shard, words, pairs), back, usual)
+    return _pair_hash(shard.pair_hash[p], h[word]), n
+
+
+def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(lang, w1, w2, w3, f) of frequent pairs, ``w3`` being NULL, and of what extends them to the left."""
+    shared = index.sparkSession.sparkContext.broadcast((words, pairs, triples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual_words, usual_pairs = shared.value
+        words, pairs, triples = shared.value
+        names = ["lang", "w1", "w2", "w3", "n"]
         for lang, shard in _opened(batches):
             h = shard.hash
-            known = shard.pairs(usual_words)
-            known[known] = bits_set(usual_pairs, _pair_hash(h[shard.left[known]], h[shard.right[known]]))
-            pair = np.flatnonzero(known)
-            ahead, back = shard.starts()
-
-            def named(before: bool | None, p: np.ndarray, word: np.ndarray | None, n: np.ndarray):
-                w1, w2 = (shard.words.take(pa.array(x[p])) for x in (shard.left, shard.right))
-                other = pa.nulls(len(p), pa.string()) if word is None else shard.words.take(pa.array(word))
-                is_before = pa.array([before] * len(p), pa.bool_())
-                columns = [pa.repeat(lang, len(p)), w1, w2, is_before, other, pa.array(n, pa.int64())]
-                return _sliced(columns, ["lang", "w1", "w2", "before", "word", "n"])
 
-            def usual_before(word: np.ndarray, p: np.ndarray) -> np.ndarray:
-                return bits_set(usual_pairs, _pair_hash(h[word], h[shard.left[p]]))
+            def usual(word: np.ndarray, p: np.ndarray, shard: _Opened = shard, h: np.ndarray = h) -> np.ndarray:
+                first = _pair_hash(h[word], h[shard.left[p]])
+                return bits_set(pairs, first) & bits_set(triples, _pair_hash(first, h[shard.right[p]]))
 
-            def usual_after(word: np.ndarray, p: np.ndarray) -> np.ndarray:
-                return bits_set(usual_pairs, _pair_hash(h[shard.right[p]], h[word]))
+            def columns(*ids: np.ndarray | None, n: np.ndarray, lang: str = lang, shard: _Opened = shard) -> list:
+                taken = [pa.nulls(len(n), pa.string()) if x is None else shard.words.take(pa.array(x)) for x in ids]
+                return [pa.repeat(lang, len(n)), *taken, pa.array(n, pa.int64())]
 
-            yield from named(None, pair, None, shard.count[pair])
-            yield from named(True, *shard.extended(shard.bwt, pair, ahead, usual_before))
-            yield from named(False, *shard.extended(shard.rbwt, pair, back, usual_after))
+            pair = _usual_pairs(shard, words, pairs)
+            yield from _sliced(columns(shard.left[pair], shard.right[pair], None, n=shard.count[pair]), names)
+            ahead, _ = shard.starts()
+            p, word, n = shard.extended(shard.bwt, pair, ahead, usual)
+            yield from _sliced(columns(word, shard.left[p], shard.right[p], n=n), names)
 
-    made = index.select(*_STORED).mapInArrow(run, _NAMED)
-    return made.groupBy("lang", "w1", "w2", "before", "word").agg(F.sum("n").alias("f"))
+    made = index.select(*_STORED).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n bigint")
+    return made.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"))
 
 
 def _score(a: str, first: Column, rest: Column) -> Column:
@@ -299,16 +309,18 @@ def collocations(
     total = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     word = counted.filter(F.col("f") >= min_count)
     words = bitmap(word.select("lang", "word").mapInArrow(_keys, "key bigint"))
-    pairs = frequent_pairs(index, words, min_count)
-    grown = stage(phrase_counts(index, words, pairs).filter(F.col("f") >= min_count), "phrases")
-    pair = grown.filter(F.col("word").isNull()).select("lang", "w1", "w2", "f")
-    more = grown.filter(F.col("word").isNotNull())
+    pairs = _frequent(index, min_count, (words,), _pair_hashes)
+    triples = _frequent(index, min_count, (words, pairs), _triple_hashes)
+    grown = stage(phrase_counts(index, words, pairs, triples).filter(F.col("f") >= min_count), "phrases")
+    pair = grown.filter(F.col("w3").isNull()).drop("w3")
+    more = grown.filter(F.col("w3").isNotNull())
+    inside = more.select("lang", "w1", "w2", "f").union(more.select("lang", "w2", "w3", "f"))
 
     def ones(name: str, f: str) -> DataFrame:
         return word.select("lang", F.col("word").alias(name), F.col("f").alias(f))
 
     two = (
-        pair.join(more.groupBy("lang", "w1", "w2").agg(F.max("f").alias("longer")), ["lang", "w1", "w2"], "left")
+        pair.join(inside.groupBy("lang", "w1", "w2").agg(F.max("f").alias("longer")), ["lang", "w1", "w2"], "left")
         .filter(F.coalesce(100 * F.col("longer") < ABSORBED * F.col("f"), F.lit(True)))
         .join(ones("w1", "l"), ["lang", "w1"])
         .join(ones("w2", "r"), ["lang", "w2"])
@@ -320,9 +332,7 @@ def collocations(
     parts = pair.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f").alias("r1"))
     cut1, cut2 = _score("f", F.col("l1"), F.col("r1")), _score("f", F.col("l2"), F.col("r2"))
     three = (
-        more.filter(~F.col("before"))
-        .select("lang", "w1", "w2", F.col("word").alias("w3"), "f")
-        .join(pair.withColumnRenamed("f", "l2"), ["lang", "w1", "w2"])
+        more.join(pair.withColumnRenamed("f", "l2"), ["lang", "w1", "w2"])
         .join(parts, ["lang", "w2", "w3"])
         .join(ones("w1", "l1"), ["lang", "w1"])
         .join(ones("w3", "r2"), ["lang", "w3"])

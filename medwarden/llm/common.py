@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, **options: int) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: int | str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
     ``options`` are those of the writer.
