@@ -923,3 +923,7 @@ ORACLE: dict[str, str] = {
     f'AND "timestamp" <= {_CLOCK} GROUP BY function_name, model_used '
     "HAVING cast(count(*) FILTER (status = 'error') AS double) / count(*) > 0.10",
 }
+
+# A stored index gives what a search of the corpus gives, also after its rows were replaced.
+ORACLE["search_index"] = ORACLE["search_batch"]
+ORACLE["search_index_fresh"] = ORACLE["search_batch_filtered"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -21,11 +23,13 @@ from medwarden.operators import (
     health,
     quality,
     search,
+    search_index,
     signals,
     silver,
     triage,
 )
 from medwarden.plans.safety_model import DRUG, FACT, PATIENT, SAFETY_MODEL
+from medwarden.session import checkpoint_root
 from medwarden.sources import files, fixtures, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -507,6 +511,38 @@ def search_batch_filtered(spark, d):
     return search.search_batch(_corpus(spark, d), asked, k=10, filters=gear, cols=["drug_name"])
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a temporary one where no shared one is named."""
+    return f"{checkpoint_root(spark, tempfile.gettempdir())}/{name}-{uuid.uuid4().hex}"
+
+
+def search_index_batch(spark, d):
+    root = _folder(spark, "search-index")
+    search_index.write_segment(narratives(spark, d), root)
+    asked = spark.createDataFrame(rules.QUERIES, "query_id int, query string")
+    return search_index.search_index(spark, root, asked, k=10)
+
+
+def search_index_fresh(spark, d):
+    """An index whose rows of a third of the cases were outdated and have been replaced."""
+    root, corpus = _folder(spark, "search-index"), _corpus(spark, d)
+    late = F.pmod(F.xxhash64("case_id"), F.lit(3)) == 0
+    outdated = corpus.withColumns(
+        {
+            "drug_name": F.when(~late, F.col("drug_name")),
+            "narrative_text": F.when(late, F.concat(F.lit("the token "), "narrative_text")).otherwise(
+                F.col("narrative_text")
+            ),
+        }
+    )
+    cols = ["drug_name", "ae_soc_class"]
+    search_index.write_segment(outdated, root, 0, cols=cols)
+    search_index.write_segment(corpus.filter(late), root, 1, cols=cols)
+    asked = spark.createDataFrame(rules.QUERIES, "query_id int, query string")
+    gear = {"ae_soc_class": "gear"}
+    return search_index.search_index(spark, root, asked, k=10, filters=gear, cols=["drug_name"])
+
+
 def search_narratives(spark, d):
     return search.search_narratives(fact_narrative(spark, d), rules.SUBSTRING, 20).withColumn(
         "narrative_sentiment", F.round("narrative_sentiment", 6)
@@ -732,6 +768,8 @@ QUERIES: dict[str, Query] = {
     "hybrid_search": hybrid_search,
     "search_batch": search_batch,
     "search_batch_filtered": search_batch_filtered,
+    "search_index": search_index_batch,
+    "search_index_fresh": search_index_fresh,
     "search_narratives": search_narratives,
     "narrative_overview": narrative_overview,
     "search_transcripts": search_transcripts,

@@ -9,11 +9,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from medwarden.functions.numbers import count_where
-from medwarden.functions.text import contains_ci, count_words, query_terms, shorten, tokens
+from medwarden.functions.text import contains_ci, count_words, keep_words, query_terms, shorten, tokens
 from medwarden.operators.skew import salted_join
 
 K1 = 1.2
 B = 0.75
+# Asked words that a plan holds as a list; more are joined.
+LITERAL_WORDS = 10_000
 
 
 def search_corpus(narratives: DataFrame, fact: DataFrame) -> DataFrame:
@@ -32,16 +34,21 @@ def search_corpus(narratives: DataFrame, fact: DataFrame) -> DataFrame:
     return rows.select("case_id", "narrative_text", "drug_name", "ae_soc_class")
 
 
-def _idf(n_docs: Column, df: Column) -> Column:
+def bm25_idf(n_docs: Column, df: Column) -> Column:
     n, d = n_docs.cast("double"), df.cast("double")
     return F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5))
 
 
-def _saturated(tf: Column, length: Column, mean_length: Column) -> Column:
+def bm25_saturated(tf: Column, length: Column, mean_length: Column) -> Column:
     norm = K1 * (F.lit(1.0 - B) + F.lit(B) * length.cast("double") / mean_length)
     return tf.cast("double") * (K1 + 1.0) / (tf.cast("double") + norm)
 
 
+def sum_ascending(part: Column) -> Column:
+    """Sum of a group's few parts in ascending order, so that equal parts give equal sums."""
+    return F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda a, x: a + x)
+
+
 def keyword_search(
     corpus: DataFrame,
     query: str,
@@ -54,7 +61,8 @@ def keyword_search(
     """The best rows by BM25 over the words of the query, among rows that match the filters.
 
     Corpus statistics (rows, mean length, rows per word) are one small aggregate over the whole
-    corpus. Scores are computed where the rows are; only the top ``limit`` rows move.
+    corpus. Scores are computed where the rows are; only the top ``limit`` rows move. Ties go by
+    ``tie_break``, then by all other columns of the result.
     """
     terms = query_terms(corpus.sparkSession, query)
     if not terms:
@@ -79,8 +87,8 @@ def keyword_search(
     counts = {f"_tf{i}": count_words(F.col("_words"), [t]) for i, t in enumerate(terms)}
     score = F.lit(0.0)
     for i, name in enumerate(counts):
-        weight = _idf(F.col("_stats.n"), F.col(f"_stats.df{i}"))
-        score = score + weight * _saturated(
+        weight = bm25_idf(F.col("_stats.n"), F.col(f"_stats.df{i}"))
+        score = score + weight * bm25_saturated(
             F.col(name), F.col("_length"), F.col("_stats.mean_length")
         )
     # Rows without a hit score 0 and sort last; any hit scores more, however common the word. They
@@ -91,7 +99,7 @@ def keyword_search(
         .withColumn("_stats", stats.select(F.struct("*")).scalar())
         .withColumn("score", score)
         .select(*dict.fromkeys([*cols, *tie_break]), "score")
-        .orderBy(F.desc("score"), *tie_break)
+        .orderBy(F.desc("score"), *dict.fromkeys([*tie_break, *cols]))
         .limit(limit)
         .filter(F.col("score") > 0)
         .withColumn("score", F.round("score", 6))
@@ -183,9 +191,10 @@ def search_batch(
     """Top ``k`` rows for each of many queries (query_id, query), scored as ``keyword_search``.
 
     Parts of a score are added in ascending order, so equal rows score equal. A row of the corpus
-    is scored as a whole, also where several rows share ``key`` and text; ties
-    go by ``key`` and ``cols``. Scores are made where the words are, so what is shuffled first are
-    the postings of asked words, and each task keeps ``k`` rows a query before the ranking.
+    is scored as a whole, also where several rows share ``key``; ties go by ``key`` and ``cols``.
+    Rows that are equal altogether are scored once and shown as often as they are there. Scores are
+    made where the words are: of up to ``LITERAL_WORDS`` asked words a row keeps only those, by a
+    hash lookup in the row, and what is shuffled are the postings of asked words.
     """
     asked = queries.select(
         "query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")
@@ -195,39 +204,53 @@ def search_batch(
     wanted = F.lit(True)
     for column, value in (filters or {}).items():
         wanted = wanted & F.coalesce(F.col(column) == value, F.lit(False))
-    docs = corpus.filter(F.col(text_col).isNotNull()).select(
-        *out,
-        wanted.alias("_wanted"),
-        F.monotonically_increasing_id().alias("_row"),
-        tokens(F.col(text_col)).alias("_words"),
-    )
+    text = F.col(text_col)
+    docs = corpus.filter(text.isNotNull())
     stats = docs.agg(
         F.struct(
             F.count(F.lit(1)).alias("n"),
-            F.avg(F.size("_words").cast("double")).alias("mean_length"),
+            F.avg(F.size(tokens(text)).cast("double")).alias("mean_length"),
         )
     ).scalar()
-    # explode_outer: for explode the optimizer adds a filter that would split each text again.
-    words = docs.select(
-        *out, "_wanted", "_row", F.size("_words").alias("length"), F.explode_outer("_words").alias("term")
+    few = [r.term for r in vocabulary.limit(LITERAL_WORDS + 1).collect()]
+    kept = tokens(text) if len(few) > LITERAL_WORDS else keep_words(tokens(text), few)
+    # Each word with whether it is its text's first such one, which counts the equal rows.
+    ordered = F.array_sort("_kept")
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(ordered, 1, F.size(ordered)))
+    runs = F.zip_with(
+        ordered, F.slice(before, 1, F.size(ordered)), lambda w, b: F.struct(w.alias("term"), (~b.eqNullSafe(w)).alias("new"))
     )
-    postings = (
-        words.join(vocabulary, "term")
-        .groupBy("_row", "length", "term", "_wanted", *out)
-        .agg(F.count(F.lit(1)).alias("tf"))
+    words = docs.select(
+        *out,
+        wanted.alias("_wanted"),
+        F.xxhash64(text).alias("_h"),
+        F.size(tokens(text)).alias("length"),
+        F.explode_outer(F.array(kept)).alias("_kept"),
+    ).select(*out, "_wanted", "_h", "length", F.explode_outer(runs).alias("_w"))
+    words = words.filter(F.col("_w").isNotNull()).select(*out, "_wanted", "_h", "length", "_w.term", "_w.new")
+    if len(few) > LITERAL_WORDS:
+        words = words.join(vocabulary, "term")
+    copies = count_where(F.col("new"))
+    postings = words.groupBy(*out, "_h", "length", "term").agg(
+        (F.count(F.lit(1)) / copies).cast("long").alias("tf"),
+        copies.alias("copies"),
+        count_where(F.col("new") & F.col("_wanted")).alias("wanted"),
     )
-    # Counting over tf keeps this branch identical to the scored one: postings are built once.
-    frequency = postings.groupBy("term").agg(count_where(F.col("tf") > 0).alias("df"))
+    # A condition on all that is counted keeps this branch identical to the scored one, so postings
+    # are built once.
+    counted = F.when((F.col("tf") > 0) & (F.col("wanted") >= 0), F.col("copies"))
+    frequency = postings.groupBy("term").agg(F.sum(counted).alias("df"))
     weighted = asked.join(frequency, "term")
-    part = _idf(F.col("_stats.n"), F.col("df")) * _saturated(
+    part = bm25_idf(F.col("_stats.n"), F.col("df")) * bm25_saturated(
         F.col("tf"), F.col("length"), F.col("_stats.mean_length")
     )
     scores = (
-        postings.filter("_wanted")
+        postings.filter(F.col("wanted") > 0)
         .join(weighted, "term")
         .withColumn("_stats", stats)
-        .groupBy("query_id", "_row", *out)
-        .agg(F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda a, x: a + x).alias("score"))
+        .groupBy("query_id", "_h", *out)
+        .agg(sum_ascending(part).alias("score"), F.min("wanted").alias("copies"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), *[F.col(c) for c in out])
     return (
