@@ -12,7 +12,8 @@
    are summed by their hashes for that. Bitmaps and hashes may let more through, but never less;
    the sums over the words themselves decide.
 
-Texts are read once; later steps read the stored indexes.
+Texts are read once; later steps read the stored indexes. Counts are shuffled as compressed blocks
+of sorted rows, one a shard and bucket; there are as many buckets as the words need.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +43,8 @@ SHARD = 3 << 19
 _PER_FILE = 4
 # Rows of a batch.
 _ROWS = 1 << 16
+# Bits of a phrase's hash that are shuffled, and words a bucket of them is for.
+KEY_BITS, BUCKET = 48, 1 << 20
 # Between pieces; no UTF-8 text has this byte.
 _END = b"\xff"
 _MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", _END * 10 + b" ")
@@ -201,23 +206,104 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Opened]]:
 _STORED = ["lang", "words", "bwt", "rbwt"]
 
 
-def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
-    whole = pa.record_batch(columns, names=names)
-    for start in range(0, whole.num_rows, _ROWS):
-        yield whole.slice(start, _ROWS)
+_BLOCKS = "bucket int, block binary"
 
 
-def _frequent(index: DataFrame, min_count: int, held: tuple, hashes: Callable) -> np.ndarray:
+def _blocks(bucket: np.ndarray, columns: dict[str, pa.Array], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, block): the rows of each bucket as one compressed block, in their order."""
+    whole = pa.record_batch(columns)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    zstd = pa.ipc.IpcWriteOptions(compression="zstd")
+    made, at = [], []
+    for i in np.flatnonzero(np.diff(ends)).tolist():
+        part = whole.take(pa.array(order[ends[i] : ends[i + 1]]))
+        if "key" in columns:
+            # Steps between sorted hashes are small.
+            key = part.column(0).to_numpy()
+            part = part.set_column(0, "key", pa.array(np.diff(key, prepend=0)))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=zstd) as writer:
+            writer.write_batch(part)
+        made.append(sink.getvalue().to_pybytes())
+        at.append(i)
+    if made:
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(made, pa.binary())], names=["bucket", "block"])
+
+
+def _summed(blocks: DataFrame, columns: str, least: int) -> DataFrame:
+    """The rows ``columns`` of all blocks, ``n`` summed over equal rows, where it is ``least`` or more.
+
+    A bucket's rows are in one task, one bucket after the other.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for _, group in groupby(rows, lambda r: r[0]):
+            parts = []
+            for _, block in group:
+                part = pa.ipc.open_stream(block.as_buffer()).read_all()
+                if "key" in names:
+                    part = part.set_column(0, "key", pa.array(np.cumsum(part.column(0).to_numpy())))
+                parts.append(part)
+            found = pa.concat_tables(parts).group_by(names[:-1]).aggregate([("n", "sum")])
+            found = found.filter(pc.greater_equal(found.column("n_sum"), least)).select([*names[:-1], "n_sum"])
+            yield from found.rename_columns(names).combine_chunks().to_batches(max_chunksize=_ROWS)
+
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, columns)
+
+
+class _Buckets:
+    """Deals hashes out: their highest bits name the bucket, so sorted hashes are sorted buckets."""
+
+    def __init__(self, words: int) -> None:
+        self.bits = max(4, (max(words, 1) // BUCKET).bit_length())
+
+    @property
+    def count(self) -> int:
+        return 1 << self.bits
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(KEY_BITS - self.bits)).astype(np.int64)
+
+
+def _frequent(index: DataFrame, min_count: int, buckets: _Buckets, held: tuple, hashes: Callable) -> np.ndarray:
     """Bitmap of the phrase hashes that ``hashes`` finds ``min_count`` times in all, and few more."""
     shared = index.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, shard in _opened(batches):
             key, n = hashes(shard, *shared.value)
-            yield from _sliced([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+            key = key & np.uint64((1 << KEY_BITS) - 1)
+            order = np.argsort(key)
+            key = key[order]
+            columns = {"key": pa.array(key.view(np.int64)), "n": pa.array(n[order], pa.int64())}
+            yield from _blocks(buckets.of(key), columns, buckets.count)
+
+    return bitmap(_summed(index.select(*_STORED).mapInArrow(run, _BLOCKS), "key bigint, n bigint", min_count))
+
 
-    made = index.select(*_STORED).mapInArrow(run, "key bigint, n bigint")
-    return bitmap(made.groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
+def word_counts(index: DataFrame, buckets: _Buckets) -> DataFrame:
+    """(lang, word, n) of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words, counts in zip(*batch.columns, strict=True):
+                lang = lang.as_py()
+                made = pa.record_batch({"word": words.values, "n": counts.values})
+                # The first one stands between pieces; the others occur.
+                made = made.slice(1).sort_by("word")
+                key = _hash(made.column(0).cast(pa.binary()).to_pylist(), lang) & np.uint64((1 << KEY_BITS) - 1)
+                columns = {"lang": _repeated(lang, made.num_rows), "word": made.column(0), "n": made.column(1)}
+                yield from _blocks(buckets.of(key), columns, buckets.count)
+
+    blocks = index.select("lang", "words", "counts").mapInArrow(run, _BLOCKS)
+    return _summed(blocks, "lang string, word string, n bigint", 1)
+
+
+def _repeated(lang: str, n: int) -> pa.Array:
+    return pa.array([lang] * n, pa.string())
 
 
 def _pair_hashes(shard: _Opened, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,13 +329,14 @@ def _triple_hashes(shard: _Opened, words: np.ndarray, pairs: np.ndarray) -> tupl
     return _pair_hash(shard.pair_hash[p], h[word]), n
 
 
-def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
-    """(lang, w1, w2, w3, f) of frequent pairs, ``w3`` being NULL, and of what extends them to the left."""
+def phrase_counts(
+    index: DataFrame, min_count: int, buckets: _Buckets, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray
+) -> DataFrame:
+    """(lang, w1, w2, w3, n) of frequent pairs, ``w3`` being NULL, and of what extends them to the left."""
     shared = index.sparkSession.sparkContext.broadcast((words, pairs, triples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, triples = shared.value
-        names = ["lang", "w1", "w2", "w3", "n"]
         for lang, shard in _opened(batches):
             h = shard.hash
 
@@ -257,18 +344,30 @@ def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray, triple
                 first = _pair_hash(h[word], h[shard.left[p]])
                 return bits_set(pairs, first) & bits_set(triples, _pair_hash(first, h[shard.right[p]]))
 
-            def columns(*ids: np.ndarray | None, n: np.ndarray, lang: str = lang, shard: _Opened = shard) -> list:
-                taken = [pa.nulls(len(n), pa.string()) if x is None else shard.words.take(pa.array(x)) for x in ids]
-                return [pa.repeat(lang, len(n)), *taken, pa.array(n, pa.int64())]
-
             pair = _usual_pairs(shard, words, pairs)
-            yield from _sliced(columns(shard.left[pair], shard.right[pair], None, n=shard.count[pair]), names)
             ahead, _ = shard.starts()
             p, word, n = shard.extended(shard.bwt, pair, ahead, usual)
-            yield from _sliced(columns(word, shard.left[p], shard.right[p], n=n), names)
-
-    made = index.select(*_STORED).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n bigint")
-    return made.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"))
+            left, right = shard.left[p], shard.right[p]
+            key = np.concatenate([shard.pair_hash[pair], _pair_hash(_pair_hash(h[word], h[left]), h[right])])
+            none = np.full(len(pair), -1)
+            ids = [
+                np.concatenate(x)
+                for x in ((shard.left[pair], word), (shard.right[pair], left), (none, right), (shard.count[pair], n))
+            ]
+            # Rows of a first word stand together, which compresses well.
+            order = np.lexsort((ids[2], ids[1], ids[0]))
+            w1, w2, w3, n = (x[order] for x in ids)
+            columns = {
+                "lang": _repeated(lang, len(n)),
+                "w1": shard.words.take(pa.array(w1)),
+                "w2": shard.words.take(pa.array(w2)),
+                "w3": shard.words.take(pa.array(w3, mask=w3 < 0)),
+                "n": pa.array(n, pa.int64()),
+            }
+            yield from _blocks(buckets.of(key[order] & np.uint64((1 << KEY_BITS) - 1)), columns, buckets.count)
+
+    blocks = index.select(*_STORED).mapInArrow(run, _BLOCKS)
+    return _summed(blocks, "lang string, w1 string, w2 string, w3 string, n bigint", min_count)
 
 
 def _score(a: str, first: Column, rest: Column) -> Column:
@@ -297,59 +396,56 @@ def collocations(
     stretch of a shard. Other columns are not read.
     """
     index = indexes(docs, text_col, lang_col)
-    kinds = F.explode(F.arrays_zip("words", "counts")).alias("w")
-    counted = stage(
-        index.select("lang", kinds)
-        .select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-        .filter((F.col("word") != "") & (F.col("n") > 0))
-        .groupBy("lang", "word")
-        .agg(F.sum("n").alias("f")),
-        "words",
-    )
-    total = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-    word = counted.filter(F.col("f") >= min_count)
+    size = index.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0]
+    buckets = _Buckets(size or 0)
+    counted = stage(word_counts(index, buckets), "words")
+    total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
+    word = counted.filter(F.col("n") >= min_count)
     words = bitmap(word.select("lang", "word").mapInArrow(_keys, "key bigint"))
-    pairs = _frequent(index, min_count, (words,), _pair_hashes)
-    triples = _frequent(index, min_count, (words, pairs), _triple_hashes)
-    grown = stage(phrase_counts(index, words, pairs, triples).filter(F.col("f") >= min_count), "phrases")
-    pair = grown.filter(F.col("w3").isNull()).drop("w3")
-    more = grown.filter(F.col("w3").isNotNull())
+    pairs = _frequent(index, min_count, buckets, (words,), _pair_hashes)
+    triples = _frequent(index, min_count, buckets, (words, pairs), _triple_hashes)
+    grown = stage(phrase_counts(index, min_count, buckets, words, pairs, triples), "phrases")
+    pair = grown.filter(F.col("w3").isNull()).select("lang", "w1", "w2", F.col("n").alias("f"))
+    more = grown.filter(F.col("w3").isNotNull()).withColumnRenamed("n", "f")
     inside = more.select("lang", "w1", "w2", "f").union(more.select("lang", "w2", "w3", "f"))
 
     def ones(name: str, f: str) -> DataFrame:
-        return word.select("lang", F.col("word").alias(name), F.col("f").alias(f))
+        return word.select("lang", F.col("word").alias(name), F.col("n").alias(f))
 
+    none = F.lit(None).cast("string"), F.lit(None).cast("long")
     two = (
         pair.join(inside.groupBy("lang", "w1", "w2").agg(F.max("f").alias("longer")), ["lang", "w1", "w2"], "left")
         .filter(F.coalesce(100 * F.col("longer") < ABSORBED * F.col("f"), F.lit(True)))
-        .join(ones("w1", "l"), ["lang", "w1"])
-        .join(ones("w2", "r"), ["lang", "w2"])
-        .select(
-            "lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.col("f").alias("a"), "l", "r",
-            _score("f", F.col("l"), F.col("r")).alias("score"),
-        )
-    )
-    parts = pair.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f").alias("r1"))
-    cut1, cut2 = _score("f", F.col("l1"), F.col("r1")), _score("f", F.col("l2"), F.col("r2"))
+        .select("lang", "w1", F.col("w2").alias("last"), none[0].alias("w2"), "f", none[1].alias("head"), none[1].alias("tail"))
+    )
+    heads = pair.withColumnRenamed("f", "head")
+    tails = pair.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f").alias("tail"))
     three = (
-        more.join(pair.withColumnRenamed("f", "l2"), ["lang", "w1", "w2"])
-        .join(parts, ["lang", "w2", "w3"])
-        .join(ones("w1", "l1"), ["lang", "w1"])
-        .join(ones("w3", "r2"), ["lang", "w3"])
-        .select("*", (cut1 <= cut2).alias("early"), F.least(cut1, cut2).alias("score"))
+        more.join(heads, ["lang", "w1", "w2"])
+        .join(tails, ["lang", "w2", "w3"])
+        .select("lang", "w1", F.col("w3").alias("last"), "w2", "f", "head", "tail")
+    )
+    # The first word and the rest; of three words also the first pair and the last word.
+    cut1 = _score("f", F.col("first"), F.coalesce("tail", "end"))
+    cut2 = _score("f", F.coalesce("head", "first"), F.col("end"))
+    early = F.col("w2").isNull() | (F.col("cut1") <= F.col("cut2"))
+    scored = (
+        two.union(three)
+        .join(ones("w1", "first"), ["lang", "w1"])
+        .join(ones("last", "end"), ["lang", "last"])
+        .withColumns({"cut1": cut1, "cut2": cut2})
         .select(
-            "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.col("f").alias("a"),
-            F.when(F.col("early"), F.col("l1")).otherwise(F.col("l2")).alias("l"),
-            F.when(F.col("early"), F.col("r1")).otherwise(F.col("r2")).alias("r"),
-            "score",
+            "lang", F.concat_ws(" ", "w1", "w2", "last").alias("phrase"), F.col("f").alias("a"),
+            F.when(early, F.col("first")).otherwise(F.col("head")).alias("l"),
+            F.when(early, F.coalesce("tail", "end")).otherwise(F.col("end")).alias("r"),
+            F.when(early, F.col("cut1")).otherwise(F.col("cut2")).alias("score"),
         )
     )
     best = [F.desc("score"), F.desc("a"), F.col("phrase")]
     # The first ones of each part of a language hold the first ones of all of it.
     part = F.pmod(F.xxhash64("phrase"), F.lit(_PARTS))
     return (
-        two.union(three)
-        .withColumn("part", part)
+        scored.withColumn("part", part)
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best)))
         .filter(F.col("rank") <= top)
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long"))
