@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medwarden import schemas
+from medwarden.functions.phrases import phrases_in
 from medwarden.functions.text import count_words, keep_words, tokens
 from medwarden.operators.enrichment import Model, apply_model
 from medwarden.sources.files import not_yet_in
@@ -260,6 +261,9 @@ def _model_record(
 
 # --- adverse-event extraction -------------------------------------------------------------
 
+# Phrases of a lexicon that travel with the plan as a trie.
+TRIE_PHRASES = 100_000
+
 EXPEDITED = [c for c in schemas.SERIOUSNESS_CRITERIA if c != "none"]
 
 SERIOUS_WORDS: dict[str, list[str]] = {
@@ -346,6 +350,40 @@ def _matched(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
+def _lexicon_hits(worded: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(*key, turn, text, kind, name, soc) of each phrase that a turn has.
+
+    A lexicon of up to ``TRIE_PHRASES`` phrases is a trie that is walked along each turn, so nothing
+    but hits leaves the rows. A larger one is joined on first words.
+    """
+    rows = wanted.limit(TRIE_PHRASES + 1).collect()
+    if len(rows) > TRIE_PHRASES:
+        return _joined_hits(worded, wanted, key)
+    firsts = {r["_phrase"][0] for r in rows}
+    starts = worded.filter(F.exists("_words", lambda w: w.isin(sorted(firsts)))) if firsts else worded.limit(0)
+    spark = worded.sparkSession
+    entries = [(i, r.kind, r["name"], r.soc) for i, r in enumerate(rows)]
+    names = spark.createDataFrame(entries, "_hit int, kind string, name string, soc string")
+    hits = starts.select(*key, "turn", "text", phrases_in(F.col("_words"), [r["_phrase"] for r in rows]).alias("_found"))
+    # explode_outer: explode would add a filter that walks each turn again. The names are at most
+    # TRIE_PHRASES rows.
+    return hits.withColumn("_hit", F.explode_outer("_found")).join(F.broadcast(names), "_hit").drop("_hit", "_found")
+
+
+def _joined_hits(worded: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``_lexicon_hits`` for lexicons of any size: each word is joined with the phrases it begins."""
+    longest = wanted.agg(F.max(F.size("_phrase"))).scalar()
+    # explode_outer, because for explode the optimizer adds a filter that would split each text again.
+    spots = worded.select(*key, "turn", "text", "_words", F.posexplode_outer("_words").alias("_at", "_first"))
+    spots = spots.select(
+        *key, "turn", "text", "_first", F.slice("_words", F.col("_at") + 1, longest).alias("_behind")
+    )
+    found = spots.join(wanted, F.col("_first") == F.col("_phrase")[0]).filter(
+        F.slice("_behind", F.lit(1), F.size("_phrase")) == F.col("_phrase")
+    )
+    return found.select(*key, "turn", "text", "kind", "name", "soc")
+
+
 def extract_adverse_events(
     turns: DataFrame,
     term_lexicon: DataFrame | None = None,
@@ -413,27 +451,12 @@ def extract_adverse_events(
     wanted = lexicon.select(tokens(F.col("phrase")).alias("_phrase"), "kind", "name", "soc").filter(
         F.size("_phrase") > 0
     )
-    longest = wanted.agg(F.max(F.size("_phrase"))).scalar()
-    # A word with as many behind it as the longest phrase has: rows are joined on the first word
-    # and then compared, and the text of the turn stays behind. explode_outer, because for explode
-    # the optimizer adds a filter that would split each text again.
-    spots = worded.select(*key, "turn", "_words", F.posexplode_outer("_words").alias("_at", "_first"))
-    spots = spots.select(
-        *key, "turn", "_first", F.slice("_words", F.col("_at") + 1, longest).alias("_behind")
-    ).distinct()
-    found = spots.join(wanted, F.col("_first") == F.col("_phrase")[0]).filter(
-        F.slice("_behind", F.lit(1), F.size("_phrase")) == F.col("_phrase")
-    )
-    first_said = found.groupBy(*key, "kind", "name").agg(
-        F.min("turn").alias("turn"), F.min("soc").alias("soc")
+    # With its first mention, each name of a call brings the text of that turn.
+    mentions = (
+        _lexicon_hits(worded, wanted, key)
+        .groupBy(*key, "kind", "name")
+        .agg(F.min(F.struct("turn", "text")).alias("first"), F.min("soc").alias("soc"))
     )
-    # The texts of the first mentions, each moved once.
-    said = (
-        first_said.select(*key, "turn").distinct()
-        .join(turns.select(*key, "turn", "text"), [*key, "turn"])
-        .groupBy(*key, "turn").agg(F.min("text").alias("text"))
-    )
-    mentions = first_said.join(said, [*key, "turn"]).withColumn("first", F.struct("turn", "text"))
     # At most one element per lexicon term and call.
     event_list = F.sort_array(
         F.collect_list(F.when(F.col("kind") == "event", F.struct("name", "soc", "first")))
