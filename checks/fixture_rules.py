@@ -79,6 +79,8 @@ TERM_PHRASES = [
 ]
 DRUG_PHRASES = [("ea", "Drug X"), ("es", "Drug Y"), ("nd", "Drug X"), ("on the", "Drug Z")]
 
+# Share of the vector index's lists that a query probes: the vectors hardly fall into clusters.
+PROBES = 0.75
 QUERIES = [(1, "the thin nicht"), (2, "ble und les"), (3, "token src"), (4, "absentword")]
 KEYWORDS = "ble thin nicht"
 SUBSTRING = "GIZMO"

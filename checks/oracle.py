@@ -927,3 +927,18 @@ ORACLE: dict[str, str] = {
 # A stored index gives what a search of the corpus gives, also after its rows were replaced.
 ORACLE["search_index"] = ORACLE["search_batch"]
 ORACLE["search_index_fresh"] = ORACLE["search_batch_filtered"]
+
+_NEIGHBOURS = """WITH near AS (
+  SELECT q.vec_id AS query_id, concat('US-CASE-', e.vec_id) AS case_id,
+    list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS raw
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, case_id, round(raw, 6) AS similarity,
+    cast(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, case_id) AS integer) AS rank
+  FROM near
+)"""
+ORACLE["vector_index_exact"] = f"{_NEIGHBOURS} SELECT * FROM ranked WHERE rank <= 10"
+ORACLE["vector_index_recall"] = (
+    f"{_NEIGHBOURS} SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reached "
+    "FROM ranked WHERE rank <= 10"
+)

@@ -27,6 +27,7 @@ from medwarden.operators import (
     signals,
     silver,
     triage,
+    vector_index,
 )
 from medwarden.plans.safety_model import DRUG, FACT, PATIENT, SAFETY_MODEL
 from medwarden.session import checkpoint_root
@@ -543,6 +544,33 @@ def search_index_fresh(spark, d):
     return search_index.search_index(spark, root, asked, k=10, filters=gear, cols=["drug_name"])
 
 
+def _vector_index(spark, d):
+    """The root of a new index of all vectors, and the queries: every vector whose id 20 divides."""
+    root = _folder(spark, "vector-index")
+    vector_index.build_vector_index(fixtures.narrative_vectors(spark, d), root)
+    asked = fixtures.table(spark, d, "embeddings").filter("vec_id % 20 = 0")
+    return root, asked.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_index_exact(spark, d):
+    root, asked = _vector_index(spark, d)
+    return vector_index.search_vector_index(spark, root, asked, k=10)
+
+
+def vector_index_recall(spark, d):
+    """Whether probing finds at least 0.9 of what the exact search finds."""
+    root, asked = _vector_index(spark, d)
+    exact = vector_index.search_vector_index(spark, root, asked, k=10)
+    probed = vector_index.search_vector_index(spark, root, asked, k=10, probes=rules.PROBES)
+    keys = ["query_id", "case_id"]
+    both = exact.select(*keys).join(probed.select(*keys, F.lit(1).alias("hit")), keys, "left")
+    return both.agg(
+        F.countDistinct("query_id").alias("queries"),
+        F.count(F.lit(1)).alias("neighbours"),
+        (10 * F.count("hit") >= 9 * F.count(F.lit(1))).alias("reached"),
+    )
+
+
 def search_narratives(spark, d):
     return search.search_narratives(fact_narrative(spark, d), rules.SUBSTRING, 20).withColumn(
         "narrative_sentiment", F.round("narrative_sentiment", 6)
@@ -765,6 +793,8 @@ QUERIES: dict[str, Query] = {
     "keyword_search": keyword_search,
     "keyword_search_filtered": keyword_search_filtered,
     "vector_search": vector_search,
+    "vector_index_exact": vector_index_exact,
+    "vector_index_recall": vector_index_recall,
     "hybrid_search": hybrid_search,
     "search_batch": search_batch,
     "search_batch_filtered": search_batch_filtered,

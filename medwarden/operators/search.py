@@ -106,14 +106,15 @@ def keyword_search(
     )
 
 
-def _dot(a: Column, b: Column) -> Column:
+def dot(a: Column | str, b: Column | str) -> Column:
+    """Sum of products of two double arrays, in their order."""
     products = F.zip_with(a, b, lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two double arrays; NULL if one has no length."""
-    return _dot(a, b) / F.nullif(F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)), F.lit(0.0))
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
 def vector_search(
