@@ -44,7 +44,7 @@ _PER_FILE = 4
 # Rows of a batch.
 _ROWS = 1 << 16
 # Bits of a phrase's hash that are shuffled, and words a bucket of them is for.
-KEY_BITS, BUCKET = 48, 1 << 20
+KEY_BITS, BUCKET = 48, 1 << 23
 # Between pieces; no UTF-8 text has this byte.
 _END = b"\xff"
 _MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", _END * 10 + b" ")
