@@ -213,3 +213,70 @@ def test_call_chain_equals_batch(spark, place, rows, job):
     assert got == [("c1", "Zolina", "CALL_CENTER"), ("c3", None, "CALL_CENTER")]
     assert read_table(spark, place("out/transcriptions")).count() == 3
     assert read_table(spark, place("out/fact_agent_compliance")).count() == 3
+
+
+class TestState:
+    """What keyed state gives: no history is read, retries count once, closed keys stay as they are."""
+
+    SCHEMA = "file_path string, file_name string, received_at timestamp_ntz, turn bigint, speaker_label string, text string"
+    DAY = dt.datetime(2024, 1, 1)
+
+    def start(self, spark, place, job, turns, **how):
+        rows = [(f"in/{c}", c, self.DAY, n, "caller", t) for c, n, t in turns]
+        frame = spark.createDataFrame(rows, self.SCHEMA)
+        write_table(frame.coalesce(1), place("turns"), "append")
+        terms = spark.createDataFrame([("rash", "Rash", "Skin")], "phrase string, preferred_term string, soc_class string")
+        drugs = spark.createDataFrame([("zolina", "Zolina")], "phrase string, drug_name string")
+        stream = refresh.table_stream(spark, place("turns"), frame.schema)
+        finish(chain.refresh_calls(stream, terms, drugs, place("out"), job, lag=None, checkpoint=place("chk"), **how))
+        found = chain.current_calls(spark, place("out"), "transcriptions")
+        return {r.file_name: r.transcription_result.text for r in found.collect()}
+
+    def test_a_retried_batch_counts_once_and_reads_no_history(self, spark, place, job):
+        self.start(spark, place, job, [("c1", 0, "one"), ("c2", 0, "x"), (None, 0, "no recording")])
+        want = {"c1": "caller: one\ncaller: two", "c2": "caller: x"}
+        assert self.start(spark, place, job, [("c1", 1, "two")]) == want
+        # No table of turns is kept: the second batch had the first turn from its state.
+        assert not (Path(place("out")) / "turns").exists()
+        touched = read_table(spark, place("out/transcriptions")).filter("batch_id = 1")
+        assert [r.file_name for r in touched.collect()] == ["c1"]
+        commits = Path(checkpoint_root(spark, place("chk"))) / job / "commits"
+        for name in ("1", ".1.crc"):
+            (commits / name).unlink()
+        assert self.start(spark, place, job, [("c3", 0, "new")]) == {**want, "c3": "caller: new"}
+
+    def test_rows_of_a_closed_recording_are_set_aside(self, spark, place, job):
+        self.start(spark, place, job, [("c1", 0, "one")], keep_ms=1)
+        self.start(spark, place, job, [("c2", 0, "x")], keep_ms=1)
+        # Timers fire with the batch after they are due.
+        got = self.start(spark, place, job, [("c1", 1, "two"), ("c3", 0, "y")], keep_ms=1)
+        assert got["c1"] in ("caller: one", "caller: one\ncaller: two") and got["c3"] == "caller: y"
+        got = self.start(spark, place, job, [("c1", 2, "three")], keep_ms=1)
+        late = [r.turn for r in read_table(spark, place("out/late_turns")).collect()]
+        assert 2 in late and "three" not in got["c1"]
+
+
+def test_search_index_follows_the_corpus(spark, place, rows, job):
+    fact_schema = "case_id string, drug_name string, ae_soc_class string, ae_term string, report_date date"
+    text_schema = "case_id string, narrative_text string"
+    asked = spark.createDataFrame([(1, "rash pain"), (2, "fever")], "query_id int, query string")
+    day = dt.date(2024, 1, 1)
+
+    def run(narratives=(), facts=()):
+        for data, schema, table in ((narratives, text_schema, "narr"), (facts, fact_schema, "fact")):
+            write_table(spark.createDataFrame(list(data), schema), place(table), "append")
+        streams = [
+            refresh.table_stream(spark, place(table), spark.createDataFrame([], schema).schema)
+            for table, schema in (("narr", text_schema), ("fact", fact_schema))
+        ]
+        finish(chain.refresh_search_corpus(*streams, place("out"), job, None, place("chk"), compact_every=2))
+        want = search.search_batch(chain.current_corpus(spark, place("out")), asked, 9, cols=["drug_name"])
+        found = rows(chain.search_current(spark, place("out"), asked, 9, cols=["drug_name"]))
+        assert found == rows(want)
+        return found
+
+    run([("c1", "rash and fever"), ("c2", "pain")], [("c1", "d", "s", "t", day)])
+    hits = run([("c3", "rash")], [("c2", "late", "s", "t", day), ("c2", "other", "s", "t", day)])
+    assert {(h[1], h[2]) for h in hits} >= {("c2", "late"), ("c2", "other"), ("c1", "d"), ("c3", None)}
+    hits = run(facts=[("c1", "more", "s", "t", day)])
+    assert {h[2] for h in hits if h[1] == "c1"} == {"d", "more"}
