@@ -10,8 +10,10 @@ own ids, the chunks are encoded as one and the next join is tried, until both ag
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +51,12 @@ def cuts(text: bytes) -> list[int]:
     return found
 
 
-class Encoded:
+class Encoded(NamedTuple):
     """Ids of a piece of text, as the result needs them: their count, decimals and tokens."""
 
-    __slots__ = ("n", "ids", "tokens")
-
-    def __init__(self, n: int, ids: str, tokens: str):
-        self.n, self.ids, self.tokens = n, ids, tokens
+    n: int
+    ids: str
+    tokens: str
 
 
 class Encoder:
@@ -66,27 +67,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(definition)
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        size = self._tokenizer.get_vocab_size()
+        self._decimals = list(map(str, range(size)))
+        self._tokens = list(map(self._tokenizer.id_to_token, range(size)))
+        self._ends = [bool(suffix) and t.endswith(suffix) for t in self._tokens]
         self._words: dict[bytes, Encoded] = {}
         self._chunks: dict[bytes, Encoded] = {}
         self._chunk_bytes = 0
 
     def _plain(self, texts: list[bytes]) -> list[Encoded]:
-        made = self._tokenizer.encode_batch(
+        made = self._tokenizer.encode_batch_fast(
             [t.decode("utf-8") for t in texts], add_special_tokens=False
         )
-        return [Encoded(len(e.ids), " ".join(map(str, e.ids)), " ".join(e.tokens)) for e in made]
+        return [self._encoded(e.ids) for e in made]
+
+    def _encoded(self, ids: list[int]) -> Encoded:
+        decimals, tokens = self._decimals, self._tokens
+        return Encoded(len(ids), " ".join([decimals[i] for i in ids]), " ".join([tokens[i] for i in ids]))
+
+    def _parts(self, parts: list[bytes]) -> dict[bytes, Encoded]:
+        """Each part encoded; runs of plain letters all in one text, as each is one word in it, too."""
+        plain = [p for p in parts if p.isalpha()]
+        made = {}
+        if len(plain) > 1:
+            start, ends = 0, self._ends
+            ids = self._tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids
+            found = []
+            for at, i in enumerate(ids, 1):
+                if ends[i]:
+                    found.append(ids[start:at])
+                    start = at
+            if len(found) == len(plain) and start == len(ids):
+                made = dict(zip(plain, map(self._encoded, found), strict=True))
+        left = [p for p in parts if p not in made]
+        if left:
+            made.update(zip(left, self._plain(left), strict=True))
+        return made
 
     def _of_words(self, words: list[bytes]) -> list[Encoded]:
         kept = self._words
         found = list(map(kept.get, words))
         if None in found:
-            new = {w: _apart(w) for w, f in zip(words, found, strict=True) if f is None}
+            at = [i for i, f in enumerate(found) if f is None]
+            new = {w: _apart(w) for w in {words[i] for i in at}}
             needed = list({p for parts in new.values() for p in parts if p not in kept})
-            made = dict(zip(needed, self._plain(needed), strict=True))
+            made = self._parts(needed)
             for word, parts in new.items():
                 if word not in made:
                     made[word] = _join([made.get(p) or kept[p] for p in parts])
-            found = [made[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            for i in at:
+                found[i] = made[words[i]]
             if len(kept) + len(made) > _KEPT_WORDS:
                 kept.clear()
             kept.update((w, e) for w, e in made.items() if len(w) <= _KEPT_LENGTH)
@@ -139,10 +170,10 @@ def _apart(word: bytes) -> list[bytes]:
 
 
 def _join(parts: list[Encoded]) -> Encoded:
-    parts = [p for p in parts if p.n]
-    return Encoded(
-        sum(p.n for p in parts), " ".join([p.ids for p in parts]), " ".join([p.tokens for p in parts])
-    )
+    counts, ids, tokens = zip(*parts, strict=True) if parts else ((), (), ())
+    if 0 in counts:
+        ids, tokens = filter(None, ids), filter(None, tokens)
+    return Encoded(sum(counts), " ".join(ids), " ".join(tokens))
 
 
 def bpe_round_trip(
