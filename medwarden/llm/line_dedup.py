@@ -112,31 +112,34 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows of equal id, NULL included, and equal text are one document. Lines without a token stay. NULL texts stay
     NULL and empty ones empty, with no lines dropped. The first place of a template is that of the
-    smallest id, and of its texts that of the smallest hash; every repeated row of it keeps it. An empty table gives no rows. Columns of ``docs`` called like the two counts are
+    smallest id, and of its texts that of the smallest hash; every repeated row of it keeps it. An empty
+    table gives no rows. Other columns may be called anything; those called like the two counts are
     replaced.
     """
-    drop = dropped_lines(docs, id_col, text_col).select(F.col("_id").alias("_drop_id"), F.col("_h").alias("_drop_h"), "drop")
-    rows = docs.drop("n_lines", "n_dropped").join(
+    drop = dropped_lines(docs, id_col, text_col).select(F.col("_id").alias("drop_id"), F.col("_h").alias("drop_h"), "drop")
+    # All columns of ``docs`` are one here, so that none can clash with those of this function.
+    rows = docs.drop("n_lines", "n_dropped").select(F.struct("*").alias("doc"))
+    text = F.col("doc").getField(text_col)
+    rows = rows.join(
         drop,
-        F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.xxhash64(text_col) == F.col("_drop_h")),
+        F.col("doc").getField(id_col).eqNullSafe(F.col("drop_id")) & (F.xxhash64(text) == F.col("drop_h")),
         "left",
-    )
-    lines = F.split(F.col(text_col), "\n")
+    ).withColumn("lines", F.explode(F.array(F.split(text, "\n"))))
     stay = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("drop")),
-        lambda i: F.get(F.col("_lines"), i),
+        F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop")),
+        lambda i: F.get(F.col("lines"), i),
     )
-    return (
-        rows.withColumn("_lines", F.explode(F.array(lines)))
-        .withColumn(
-            text_col,
-            F.when(F.col("drop").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(
-                F.array_join(stay, "\n")
-            ),
-        )
-        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size(F.array_intersect("drop", F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1))), F.lit(0)).cast("long"))
-        .drop("_lines", "drop", "_drop_id", "_drop_h")
+    kept = F.when(F.col("drop").isNull() | text.isNull(), text).otherwise(F.array_join(stay, "\n"))
+    n_lines = F.coalesce(F.size("lines"), F.lit(0))
+    n_dropped = F.size(F.array_intersect("drop", F.sequence(F.lit(0), n_lines - 1)))
+    return rows.select(
+        *[
+            (kept if c == text_col else F.col("doc").getField(c)).alias(c)
+            for c in docs.columns
+            if c not in ("n_lines", "n_dropped")
+        ],
+        n_lines.cast("long").alias("n_lines"),
+        F.coalesce(n_dropped, F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

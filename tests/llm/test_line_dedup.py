@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from checks.compare import connect
 from medwarden.llm import line_dedup as L
 from medwarden.llm.common import table
@@ -56,3 +58,21 @@ def test_repeated_keeper_and_shared_ids(spark):
     got = sorted((r.doc_id or 0, r.text) for r in L.line_dedup(df).collect())
     assert got == [(0, f"d\n{other}"), (0, "e\nf"), (1, f"a\n{LONG}"), (1, f"a\n{LONG}"), (2, "b"), (3, "c"),
                    (3, "own\nlast"), (4, "")]
+
+
+def test_columns_of_any_name_come_through(spark):
+    text = "\n".join(f"one line that recurs in all of these texts {'abcdefgh'[i]}" for i in range(8))
+    docs = spark.createDataFrame([(i, text) for i in range(30)] + [(99, None)], "doc_id bigint, text string")
+    more = {"drop": "d", "_lines": "l", "lines": "x", "doc": "o", "drop_id": "i", "_drop_h": "h", "a.b": "p"}
+    got = L.line_dedup(docs.withColumns({k: F.lit(v) for k, v in more.items()})).collect()
+    assert len(got) == 31 and sum(r.n_dropped for r in got) > 0
+    assert all(r[k] == v for r in got for k, v in more.items())
+    plain = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(docs).collect()}
+    assert {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got} == plain
+
+
+def test_long_lines(spark):
+    line = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(60_000))
+    docs = spark.createDataFrame([(i, f"{line}\nown {chr(97 + i)}") for i in range(3)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_dropped, r.text[:5]) for r in L.line_dedup(docs).collect()}
+    assert got == {0: (0, line[:5]), 1: (1, "own b"), 2: (1, "own c")}

@@ -65,8 +65,11 @@ def test_odd_tables(spark):
     data = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0),
             (2, "word " * 3, None, "b", 15), (2, " ".join(f"w{i}" for i in range(90)), "en", None, 0)]
     docs = spark.createDataFrame(data * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for rows in (docs, docs.limit(0)):
+    clashing = docs.selectExpr("*", "'r' as _row", "'o' as _other", "'d' as drop", "'l' as _lines", "'k' as kept")
+    for rows, n in ((docs, 1), (docs.limit(0), 0), (clashing, 1)):
         out = rows
         for name, apply in corpus_pipeline.STAGES:
             out = stage(apply(spark, out, SF), name)
-        assert out.count() == (1 if rows is docs else 0)
+            if rows is clashing and name != "bpe":
+                assert {(r["_row"], r["_other"], r.drop, r["_lines"], r.kept) for r in out.collect()} == {("r", "o", "d", "l", "k")}
+        assert out.count() == n
