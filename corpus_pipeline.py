@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet in the shared folder and read again for the next. Stages that decide about rows
 match them by id and a hash of their columns, so repeated ids are told apart. Which rows a stage
-keeps does not depend on how they are dealt over partitions.
+keeps does not depend on how they are dealt over partitions. Other columns than those of documents
+may be called anything; they stay with their rows until the last stage.
 """
 
 from __future__ import annotations
@@ -23,21 +24,30 @@ TOKENIZER = "word_bpe_49k.json"
 KEY = "_row"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.struct("doc_id", F.xxhash64("text", "lang", "source")))
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
-def _matching(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of id and content, and the name of that column, which is new."""
+    key = _free(docs, KEY)
+    return docs.withColumn(key, F.struct("doc_id", F.xxhash64("text", "lang", "source"))), key
+
+
+def _matching(keyed: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """Rows of ``keyed`` whose key is (left_semi) or is not (left_anti) among ``keys``."""
-    other = keys.select(F.col(KEY).alias("_other"))
-    return keyed.join(other, F.col(KEY) == F.col("_other"), how)
+    other = _free(keyed, "_other")
+    return keyed.join(keys.select(F.col(key).alias(other)), F.col(key) == F.col(other), how)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    keyed = _keyed(docs)
-    kept = quality_rules(keyed, id_col=KEY).filter("kept")
-    return _matching(keyed, kept, "left_semi").select(docs.columns)
+    keyed, key = _keyed(docs)
+    kept = quality_rules(keyed, id_col=key).filter("kept")
+    return _matching(keyed, kept, key, "left_semi").select(docs.columns)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +57,16 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id, once."""
-    keyed = _keyed(docs)
-    first = near_duplicates(keyed, id_col=KEY).filter(F.col(KEY) == F.col("component_id"))
-    return _matching(keyed, first, "left_semi").dropDuplicates([KEY]).select(docs.columns)
+    keyed, key = _keyed(docs)
+    first = near_duplicates(keyed, id_col=key).filter(F.col(key) == F.col("component_id"))
+    return _matching(keyed, first, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    keyed = _keyed(docs)
-    found = decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY)
-    return _matching(keyed, stage(found.select(KEY).distinct(), "leaks"), "left_anti").select(docs.columns)
+    keyed, key = _keyed(docs)
+    found = decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    return _matching(keyed, stage(found.select(key).distinct(), "leaks"), key, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
