@@ -942,3 +942,12 @@ ORACLE["vector_index_recall"] = (
     f"{_NEIGHBOURS} SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reached "
     "FROM ranked WHERE rank <= 10"
 )
+
+# A model read from a file gives what the operators give.
+for _name in ("top_drugs", "monthly_severe_trend", "fatal_rate_by_drug", "soc_distribution", "onset_by_drug"):
+    ORACLE[f"verified_{_name}"] = ORACLE[_name]
+_FATAL_CASES = "count(*) FILTER (ae_outcome = 'Fatal') AS fatal_cases"
+ORACLE["metric_query_of_file"] = ORACLE["metric_query"].replace(
+    _FATAL_CASES,
+    f"{_FATAL_CASES}, round(cast(count(*) FILTER (ae_outcome = 'Fatal') AS DOUBLE) * 100 / count(*), 6) AS fatal_rate",
+)

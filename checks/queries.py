@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,6 +30,7 @@ from medwarden.operators import (
     triage,
     vector_index,
 )
+from medwarden.plans.model_file import load_model, run_verified
 from medwarden.plans.safety_model import DRUG, FACT, PATIENT, SAFETY_MODEL
 from medwarden.session import checkpoint_root
 from medwarden.sources import files, fixtures, tables
@@ -427,6 +429,30 @@ def metric_query_top(spark, d):
     )
 
 
+def _file_model():
+    return load_model(os.path.join(os.path.dirname(__file__), "safety_model.yaml"))
+
+
+def verified(name: str, *columns: str) -> Query:
+    """A verified query of the model file, with the columns of the fact that it reads."""
+    return lambda spark, d: run_verified(_file_model(), {FACT: fact(spark, d, *columns)}, name)
+
+
+def metric_query_of_file(spark, d):
+    """``metric_query`` with a rate, by the model that the file holds."""
+    frames = model_frames(
+        spark, d, "case_id", "patient_id", "drug_name", "drug_dose", "drug_route", "ae_outcome"
+    )
+    rows = _file_model().query(
+        frames,
+        ["total_cases", "fatal_cases", "fatal_rate", "patient_count", "avg_patient_age"],
+        ["patient_sex", "indication"],
+        filters=[("drug_route", lambda c: c != "SMALL")],
+        order_by=["-total_cases"],
+    )
+    return rows.withColumns({c: F.round(c, 6) for c in ("fatal_rate", "avg_patient_age")})
+
+
 def check_relationship(spark, d):
     frames = {PATIENT: patients(spark, d), DRUG: drugs(spark, d)}
     return SAFETY_MODEL.check_relationship(frames, "drug_events").unionByName(
@@ -765,6 +791,12 @@ QUERIES: dict[str, Query] = {
     "metric_query": metric_query,
     "metric_query_total": metric_query_total,
     "metric_query_top": metric_query_top,
+    "metric_query_of_file": metric_query_of_file,
+    "verified_top_drugs": verified("top_drugs", "drug_name", "case_id"),
+    "verified_monthly_severe_trend": verified("monthly_severe_trend", "report_date", "ae_severity"),
+    "verified_fatal_rate_by_drug": verified("fatal_rate_by_drug", "drug_name", "ae_outcome"),
+    "verified_soc_distribution": verified("soc_distribution", "ae_soc_class"),
+    "verified_onset_by_drug": verified("onset_by_drug", "drug_name", "onset_days"),
     **{f"metric_{m.name}": _measure_query(m.name) for m in SAFETY_MODEL.measures},
     "check_relationship": check_relationship,
     "top_drugs": _of_fact(gold.top_drugs, "drug_name", "case_id"),

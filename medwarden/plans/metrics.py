@@ -22,6 +22,7 @@ class Dimension:
     name: str
     table: str
     expr: str
+    unique: bool = False
 
 
 @dataclass(frozen=True)
@@ -33,12 +34,23 @@ class Measure:
 
 @dataclass(frozen=True)
 class Relationship:
-    """Many rows of ``left`` to one of ``right``, on (left column, right column) pairs."""
+    """Many rows of ``left`` to one of ``right``, on (left column, right column) pairs.
+
+    ``how`` inner leaves out rows of ``left`` without a partner, wherever ``right`` is used.
+    """
 
     name: str
     left: str
     right: str
     keys: tuple[tuple[str, str], ...]
+    how: str = "left"
+
+
+@dataclass(frozen=True)
+class VerifiedQuery:
+    name: str
+    question: str
+    sql: str
 
 
 Filter = tuple[str, Callable[[Column], Column]]
@@ -50,6 +62,9 @@ class MetricModel:
     dimensions: tuple[Dimension, ...]
     measures: tuple[Measure, ...]
     relationships: tuple[Relationship, ...]
+    # (full name, table) pairs, and queries by name: what a model file says besides.
+    base_tables: tuple[tuple[str, str], ...] = ()
+    verified: tuple[VerifiedQuery, ...] = ()
 
     def _dimension(self, name: str) -> Dimension:
         """By ``table.name``, or by name with the fact table's first."""
@@ -147,7 +162,8 @@ class MetricModel:
             if d.table == self.fact:
                 rows = rows.withColumn(name, F.expr(d.expr))
         for table in dict.fromkeys(d.table for d in names if d.table != self.fact):
-            keys = self._relationship(table).keys
+            link = self._relationship(table)
+            keys = link.keys
             own = {name: d for d, name in names.items() if d.table == table}
             dim = frames[table].withColumns({n: F.expr(d.expr) for n, d in own.items()})
             dim = one_row_per_key(dim, [k for _, k in keys], list(own))
@@ -155,7 +171,7 @@ class MetricModel:
                 *[F.col(k).alias(f"_{table}_{i}") for i, (_, k) in enumerate(keys)], *own
             )
             match = [F.col(k) == F.col(f"_{table}_{i}") for i, (k, _) in enumerate(keys)]
-            rows = rows.join(dim, match, "left")
+            rows = rows.join(dim, match, link.how)
         return rows
 
     def check_relationship(self, frames: Mapping[str, DataFrame], name: str) -> DataFrame:
@@ -174,28 +190,10 @@ class MetricModel:
 
     @classmethod
     def from_mapping(cls, config: Mapping, fact: str | None = None) -> MetricModel:
-        """A model from parsed YAML or JSON: tables with dimensions, time_dimensions and measures,
-        and relationships with left_table, right_table and ``on`` column pairs."""
-        tables = config["tables"]
-        dims = tuple(
-            Dimension(d["name"], t["name"], d["expr"])
-            for t in tables
-            for d in [*t.get("dimensions", []), *t.get("time_dimensions", [])]
-        )
-        measures = tuple(
-            Measure(m["name"], t["name"], m["expr"]) for t in tables for m in t.get("measures", [])
-        )
-        links = tuple(
-            Relationship(
-                r["name"],
-                r["left_table"],
-                r["right_table"],
-                tuple((k["left_column"], k["right_column"]) for k in r["on"]),
-            )
-            for r in config.get("relationships", [])
-        )
-        first = links[0].left if links else tables[0]["name"]
-        return cls(fact or first, dims, measures, links)
+        """A model from parsed YAML or JSON (see ``medwarden.plans.model_file``)."""
+        from medwarden.plans.model_file import model_of
+
+        return model_of(config, fact)
 
 
 def _join_parts(a: DataFrame, b: DataFrame, dims: Sequence[str]) -> DataFrame:
