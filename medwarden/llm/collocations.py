@@ -209,44 +209,46 @@ _STORED = ["lang", "words", "bwt", "rbwt"]
 _BLOCKS = "bucket int, block binary"
 
 
-def _blocks(bucket: np.ndarray, columns: dict[str, pa.Array], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, block): the rows of each bucket as one compressed block, in their order."""
-    whole = pa.record_batch(columns)
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    """One compressed block of one row of lists, which may differ in length."""
+    made = {}
+    for name, column in columns.items():
+        ends = pa.array([0, len(column)], pa.int32())
+        made[name] = pa.ListArray.from_arrays(ends, column)
+    row = pa.record_batch(made)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: pa.Scalar) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(block.as_buffer()).read_next_batch()
+    return {name: row.column(i)[0].values for i, name in enumerate(row.schema.names)}
+
+
+def _dealt(bucket: np.ndarray, buckets: int, pack: Callable[[np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:
+    """(bucket, block): what ``pack`` makes of the rows of each bucket, in their order."""
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    zstd = pa.ipc.IpcWriteOptions(compression="zstd")
-    made, at = [], []
-    for i in np.flatnonzero(np.diff(ends)).tolist():
-        part = whole.take(pa.array(order[ends[i] : ends[i + 1]]))
-        if "key" in columns:
-            # Steps between sorted hashes are small.
-            key = part.column(0).to_numpy()
-            part = part.set_column(0, "key", pa.array(np.diff(key, prepend=0)))
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema, options=zstd) as writer:
-            writer.write_batch(part)
-        made.append(sink.getvalue().to_pybytes())
-        at.append(i)
+    at = np.flatnonzero(np.diff(ends))
+    made = [pack(order[ends[i] : ends[i + 1]]) for i in at.tolist()]
     if made:
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(made, pa.binary())], names=["bucket", "block"])
 
 
-def _summed(blocks: DataFrame, columns: str, least: int) -> DataFrame:
+def _summed(blocks: DataFrame, columns: str, least: int, rows_of: Callable[[dict], dict]) -> DataFrame:
     """The rows ``columns`` of all blocks, ``n`` summed over equal rows, where it is ``least`` or more.
 
-    A bucket's rows are in one task, one bucket after the other.
+    ``rows_of`` makes equally long columns of a block. A bucket's rows are in one task, one bucket
+    after the other.
     """
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
         for _, group in groupby(rows, lambda r: r[0]):
-            parts = []
-            for _, block in group:
-                part = pa.ipc.open_stream(block.as_buffer()).read_all()
-                if "key" in names:
-                    part = part.set_column(0, "key", pa.array(np.cumsum(part.column(0).to_numpy())))
-                parts.append(part)
+            parts = [pa.table(rows_of(_unpacked(block))) for _, block in group]
             found = pa.concat_tables(parts).group_by(names[:-1]).aggregate([("n", "sum")])
             found = found.filter(pc.greater_equal(found.column("n_sum"), least)).select([*names[:-1], "n_sum"])
             yield from found.rename_columns(names).combine_chunks().to_batches(max_chunksize=_ROWS)
@@ -254,11 +256,35 @@ def _summed(blocks: DataFrame, columns: str, least: int) -> DataFrame:
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, columns)
 
 
+def _hash_rows(block: dict) -> dict:
+    return {"key": pa.array(np.cumsum(block["step"].to_numpy())), "n": block["n"].cast(pa.int64())}
+
+
+def _word_rows(block: dict) -> dict:
+    n = len(block["n"])
+    return {"lang": block["lang"].take(pa.array(np.zeros(n, int))), "word": block["word"], "n": block["n"].cast(pa.int64())}
+
+
+def _phrase_rows(block: dict) -> dict:
+    words = block["words"]
+    rows = {"lang": block["lang"].take(pa.array(np.zeros(len(block["n"]), int)))}
+    return rows | {w: words.take(block[w]) for w in ("w1", "w2", "w3")} | {"n": block["n"].cast(pa.int64())}
+
+
+def _phrase_block(lang: str, words: pa.Array, ids: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Phrases of word ids, -1 for none, with their words once."""
+    used = np.unique(np.concatenate(ids))
+    used = used[used >= 0]
+    own = [pa.array(np.searchsorted(used, x).astype(np.int32), mask=x < 0) for x in ids]
+    columns = {"lang": pa.array([lang]), "words": words.take(pa.array(used)), "n": pa.array(n.astype(np.int32))}
+    return _packed(columns | dict(zip(("w1", "w2", "w3"), own, strict=True)))
+
+
 class _Buckets:
     """Deals hashes out: their highest bits name the bucket, so sorted hashes are sorted buckets."""
 
     def __init__(self, words: int) -> None:
-        self.bits = max(4, (max(words, 1) // BUCKET).bit_length())
+        self.bits = max(3, (max(words, 1) // BUCKET).bit_length())
 
     @property
     def count(self) -> int:
@@ -278,10 +304,16 @@ def _frequent(index: DataFrame, min_count: int, buckets: _Buckets, held: tuple,
             key = key & np.uint64((1 << KEY_BITS) - 1)
             order = np.argsort(key)
             key = key[order]
-            columns = {"key": pa.array(key.view(np.int64)), "n": pa.array(n[order], pa.int64())}
-            yield from _blocks(buckets.of(key), columns, buckets.count)
+            n = n[order].astype(np.int32)
+
+            def pack(rows: np.ndarray, key: np.ndarray = key.view(np.int64), n: np.ndarray = n) -> bytes:
+                # Steps between sorted hashes are small.
+                return _packed({"step": pa.array(np.diff(key[rows], prepend=0)), "n": pa.array(n[rows])})
 
-    return bitmap(_summed(index.select(*_STORED).mapInArrow(run, _BLOCKS), "key bigint, n bigint", min_count))
+            yield from _dealt(buckets.of(key), buckets.count, pack)
+
+    made = index.select(*_STORED).mapInArrow(run, _BLOCKS)
+    return bitmap(_summed(made, "key bigint, n bigint", min_count, _hash_rows))
 
 
 def word_counts(index: DataFrame, buckets: _Buckets) -> DataFrame:
@@ -295,15 +327,15 @@ def word_counts(index: DataFrame, buckets: _Buckets) -> DataFrame:
                 # The first one stands between pieces; the others occur.
                 made = made.slice(1).sort_by("word")
                 key = _hash(made.column(0).cast(pa.binary()).to_pylist(), lang) & np.uint64((1 << KEY_BITS) - 1)
-                columns = {"lang": _repeated(lang, made.num_rows), "word": made.column(0), "n": made.column(1)}
-                yield from _blocks(buckets.of(key), columns, buckets.count)
 
-    blocks = index.select("lang", "words", "counts").mapInArrow(run, _BLOCKS)
-    return _summed(blocks, "lang string, word string, n bigint", 1)
+                def pack(rows: np.ndarray, lang: str = lang, made: pa.RecordBatch = made) -> bytes:
+                    part = made.take(pa.array(rows))
+                    return _packed({"lang": pa.array([lang]), "word": part.column(0), "n": part.column(1)})
 
+                yield from _dealt(buckets.of(key), buckets.count, pack)
 
-def _repeated(lang: str, n: int) -> pa.Array:
-    return pa.array([lang] * n, pa.string())
+    blocks = index.select("lang", "words", "counts").mapInArrow(run, _BLOCKS)
+    return _summed(blocks, "lang string, word string, n bigint", 1, _word_rows)
 
 
 def _pair_hashes(shard: _Opened, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,18 +388,15 @@ def phrase_counts(
             ]
             # Rows of a first word stand together, which compresses well.
             order = np.lexsort((ids[2], ids[1], ids[0]))
-            w1, w2, w3, n = (x[order] for x in ids)
-            columns = {
-                "lang": _repeated(lang, len(n)),
-                "w1": shard.words.take(pa.array(w1)),
-                "w2": shard.words.take(pa.array(w2)),
-                "w3": shard.words.take(pa.array(w3, mask=w3 < 0)),
-                "n": pa.array(n, pa.int64()),
-            }
-            yield from _blocks(buckets.of(key[order] & np.uint64((1 << KEY_BITS) - 1)), columns, buckets.count)
+            *ids, n = (x[order] for x in ids)
+
+            def pack(rows: np.ndarray, lang: str = lang, shard: _Opened = shard, ids: list = ids, n: np.ndarray = n) -> bytes:
+                return _phrase_block(lang, shard.words, [x[rows] for x in ids], n[rows])
+
+            yield from _dealt(buckets.of(key[order] & np.uint64((1 << KEY_BITS) - 1)), buckets.count, pack)
 
     blocks = index.select(*_STORED).mapInArrow(run, _BLOCKS)
-    return _summed(blocks, "lang string, w1 string, w2 string, w3 string, n bigint", min_count)
+    return _summed(blocks, "lang string, w1 string, w2 string, w3 string, n bigint", min_count, _phrase_rows)
 
 
 def _score(a: str, first: Column, rest: Column) -> Column:
@@ -404,7 +433,9 @@ def collocations(
     words = bitmap(word.select("lang", "word").mapInArrow(_keys, "key bigint"))
     pairs = _frequent(index, min_count, buckets, (words,), _pair_hashes)
     triples = _frequent(index, min_count, buckets, (words, pairs), _triple_hashes)
-    grown = stage(phrase_counts(index, min_count, buckets, words, pairs, triples), "phrases")
+    # Frequent phrases are few, and larger blocks share more of their words.
+    few = _Buckets((size or 0) // 8)
+    grown = stage(phrase_counts(index, min_count, few, words, pairs, triples), "phrases")
     pair = grown.filter(F.col("w3").isNull()).select("lang", "w1", "w2", F.col("n").alias("f"))
     more = grown.filter(F.col("w3").isNotNull()).withColumnRenamed("n", "f")
     inside = more.select("lang", "w1", "w2", "f").union(more.select("lang", "w2", "w3", "f"))
