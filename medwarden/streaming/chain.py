@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from medwarden.operators import calls, search, search_index, silver
 from medwarden.streaming.refresh import CALLS_LAG, SEARCH_LAG, start_stream
-from medwarden.streaming.state import touched_rows, with_rocksdb
+from medwarden.streaming.state import state_settings, touched_rows
 
 # Result tables of the call chain and the column that names the recording.
 CALL_TABLES = {
@@ -113,9 +113,9 @@ def refresh_calls(
         save(silver.fact_agent_compliance(analyses), "fact_agent_compliance")
         save(silver.fact_ae_calls(records, source), "fact_ae_calls")
 
-    with_rocksdb(turns.sparkSession)
     writer = touched_rows(turns, "file_name", keep_ms).writeStream.foreachBatch(write)
-    return start_stream(writer, turns.sparkSession, name, lag, checkpoint)
+    with state_settings(turns.sparkSession, keep_ms is not None):
+        return start_stream(writer, turns.sparkSession, name, lag, checkpoint)
 
 
 _FACT_COLUMNS = ["drug_name", "ae_soc_class", "ae_term", "report_date"]
@@ -154,9 +154,9 @@ def refresh_search_corpus(
         if compact_every and batch_id % compact_every == compact_every - 1:
             search_index.compact(spark, _index(root))
 
-    with_rocksdb(spark)
     writer = touched_rows(both, "case_id").writeStream.foreachBatch(write)
-    return start_stream(writer, spark, name, lag, checkpoint)
+    with state_settings(spark):
+        return start_stream(writer, spark, name, lag, checkpoint)
 
 
 def _index(root: str) -> str:

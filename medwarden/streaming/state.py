@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 # Rows that go into a key's state at once.
 _CHUNK = 1000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_NO_ROWS = "spark.sql.streaming.noDataMicroBatches.enabled"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,6 +76,19 @@ def touched_rows(rows: DataFrame, key: str, keep_ms: int | None = None) -> DataF
     )
 
 
-def with_rocksdb(spark: SparkSession) -> None:
-    """Let streams that start from now on keep their state in RocksDB, as list states need it."""
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+@contextmanager
+def state_settings(spark: SparkSession, timers: bool = False) -> Iterator[None]:
+    """Settings of streams that start within: their state is in RocksDB, as list states need it.
+
+    With ``timers``, batches without rows are left out: there would be one after the other, and a job
+    that runs what is there would never end. Timers that are due then wait for the next rows.
+    """
+    own = {_PROVIDER: _ROCKSDB} | ({_NO_ROWS: "false"} if timers else {})
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
