@@ -32,8 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set")
-        root = tempfile.mkdtemp(prefix="medwarden-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = kept_in_worker("shared folder", lambda: tempfile.mkdtemp(prefix="medwarden-"))
     return root.rstrip("/")
 
 
