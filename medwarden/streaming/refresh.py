@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from medwarden.functions.numbers import count_where
 from medwarden.operators.health import health_measures
 from medwarden.schemas import BINARY_FILE
 from medwarden.session import checkpoint_root
@@ -172,3 +173,61 @@ def function_health_stream(
             "total_tokens",
         )
     )
+
+
+_HEALTH_KEYS = ["hour", "function_name", "model_used"]
+_HEALTH_PARTS = (
+    "hour timestamp_ntz, function_name string, model_used string, total_calls bigint, error_count bigint, "
+    "latency bigint, timed bigint, total_tokens bigint, late_calls bigint, batch_id bigint"
+)
+
+
+def refresh_health(
+    events: DataFrame,
+    sink: str,
+    name: str,
+    lag: str | None = REPORTS_LAG,
+    checkpoint: str | None = None,
+) -> StreamingQuery:
+    """Keep the hourly health of a stream of call events, however late they come.
+
+    A batch writes what it adds to each hour as one ``batch_id`` partition, so a late event corrects
+    its hour and a retried batch counts once. Calls of an hour before the last one that earlier
+    batches had are counted as late, too. Read the result with ``current_health``.
+    """
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = None
+        if batch_id > 0:
+            earlier = spark.read.schema(_HEALTH_PARTS).parquet(sink).filter(F.col("batch_id") < batch_id)
+            known = earlier.agg(F.max("hour")).first()[0]
+        hour = F.date_trunc("hour", F.col("timestamp")).cast("timestamp_ntz")
+        late = F.lit(False) if known is None else F.col("hour") < F.lit(known).cast("timestamp_ntz")
+        parts = (
+            batch.withColumn("hour", hour)
+            .groupBy(*_HEALTH_KEYS)
+            .agg(
+                F.count(F.lit(1)).alias("total_calls"),
+                count_where(F.col("status") == "error").alias("error_count"),
+                F.sum(F.col("latency_ms").cast("long")).alias("latency"),
+                F.count("latency_ms").alias("timed"),
+                F.sum(F.col("token_count").cast("long")).alias("total_tokens"),
+            )
+            .withColumn("late_calls", F.when(late, F.col("total_calls")).otherwise(F.lit(0).cast("long")))
+        )
+        parts.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    return start_stream(events.writeStream.foreachBatch(write), spark, name, lag, checkpoint)
+
+
+def current_health(spark: SparkSession, sink: str) -> DataFrame:
+    """What ``function_health`` gives for all events so far, and ``late_calls``."""
+    parts = spark.read.schema(_HEALTH_PARTS).parquet(sink)
+    summed = parts.groupBy(*_HEALTH_KEYS).agg(
+        *[F.sum(c).alias(c) for c in ("total_calls", "error_count", "latency", "timed", "total_tokens", "late_calls")]
+    )
+    mean = F.round(F.col("latency").cast("double") / F.nullif(F.col("timed"), F.lit(0)), 0)
+    return summed.select(
+        *_HEALTH_KEYS, "total_calls", "error_count", mean.alias("avg_latency_ms"), "total_tokens", "late_calls"
+    ).orderBy(F.desc_nulls_last("hour"), "function_name", "model_used")

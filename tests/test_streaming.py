@@ -292,3 +292,27 @@ def test_search_index_follows_the_corpus(spark, place, rows, job):
     assert {(h[1], h[2]) for h in hits} >= {("c2", "late"), ("c2", "other"), ("c1", "d"), ("c3", None)}
     hits = run(facts=[("c1", "more", "s", "t", day)])
     assert {h[2] for h in hits if h[1] == "c1"} == {"d", "more"}
+
+
+def test_late_calls_correct_their_hour(spark, place, rows, job):
+    start = dt.datetime(2024, 1, 1)
+
+    def call(minute, status="ok", latency=10):
+        return (start + dt.timedelta(minutes=minute), "f", "m", latency, 5, status)
+
+    def run(*calls):
+        write_table(spark.createDataFrame(list(calls), EVENTS).coalesce(1), place("log"), "append")
+        stream = refresh.table_stream(spark, place("log"), spark.read.parquet(place("log")).schema)
+        finish(refresh.refresh_health(stream, place("out"), job, None, place("chk")))
+        got = refresh.current_health(spark, place("out"))
+        want = health.function_health(spark.read.parquet(place("log")))
+        assert rows(got.drop("late_calls")) == rows(want)
+        return [r.late_calls for r in got.collect()]
+
+    assert run(call(5), call(70, "error"), call(130, latency=None)) == [0, 0, 0]
+    # The last hour goes on; the first one gets two calls after it was over.
+    assert run(call(140), call(7, "error", 31), call(8)) == [0, 0, 2]
+    commits = Path(checkpoint_root(spark, place("chk"))) / job / "commits"
+    for name in ("1", ".1.crc"):
+        (commits / name).unlink()
+    assert run(call(400)) == [0, 0, 0, 2]
