@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from medwarden.operators import search
+from medwarden.operators import search, vector_index
 from medwarden.operators.vector_index import build_vector_index, search_vector_index
 
 SCHEMA = "case_id string, embedding array<float>"
@@ -74,3 +74,31 @@ def test_training_on_a_sample_indexes_all(spark, tmp_path):
     df = spark.createDataFrame(vectors(), SCHEMA)
     build_vector_index(df, str(tmp_path), lists=5, trained=40)
     assert spark.read.parquet(f"{tmp_path}/lists").count() == df.count()
+
+
+def test_lists_and_queries_of_many_blocks(spark, tmp_path, monkeypatch):
+    """Blocks that cut a list or hold several, copies of a vector and ragged queries change nothing."""
+    for name, size in (("BLOCK_VECTORS", 7), ("BLOCK_QUERIES", 5), ("_ROWS", 2), ("_PAIRS", 11)):
+        monkeypatch.setattr(vector_index, name, size)
+    rows = vectors(60, dim=8, clusters=3)
+    rows += [(f"copy{i}", rows[0][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    build_vector_index(df, str(tmp_path), lists=9)
+    asked = [(i, rows[i][1]) for i in range(0, 60, 5)] + [(90, [0.0] * 8), (91, [1.0] * 3), (92, None)]
+    asked = spark.createDataFrame(asked, "query_id int, embedding array<float>")
+    got = search_vector_index(spark, str(tmp_path), asked, k=12).collect()
+    probed = search_vector_index(spark, str(tmp_path), asked.filter("query_id < 91"), k=12, probes=9).collect()
+    for q in asked.collect():
+        query = q.embedding if q.embedding and len(q.embedding) == 8 else [0.0] * 8
+        want = [tuple(r) for r in search.vector_search(df, query, k=12).collect()]
+        assert found(got, q.query_id) == want
+        if q.query_id < 90:
+            assert found(probed, q.query_id) == want
+
+
+def test_pairs_are_not_rows(spark, index):
+    """Queries and vectors meet in blocks: the plan has no join that makes a row of each pair."""
+    _, root, asked = index
+    for probes in (None, 4):
+        plan = search_vector_index(spark, root, asked, 5, probes)._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and plan.count("Join") == 1  # that of lists and blocks
