@@ -602,7 +602,9 @@ def _fails(value: Column, path: str, test) -> Column:
 
 def validate_records(df: DataFrame, spec: RecordSpec) -> DataFrame:
     """Adds ``violations``: the broken rules of each record. A NULL record breaks one rule."""
-    record = F.col(spec.column)
+    # explode_outer: otherwise the optimizer makes the record anew for each rule that reads it.
+    df = df.withColumn("_record", F.explode_outer(F.array(spec.column)))
+    record = F.col("_record")
     checks = [
         F.when(_fails(record, path, lambda v: v.isNull()), F.lit(f"missing {path}"))
         for path in spec.required
@@ -622,4 +624,4 @@ def validate_records(df: DataFrame, spec: RecordSpec) -> DataFrame:
     return df.withColumn(
         "violations",
         F.when(record.isNull(), F.array(F.lit("no record"))).otherwise(found),
-    )
+    ).drop("_record")

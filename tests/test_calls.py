@@ -192,3 +192,21 @@ def test_fact_narrative_number_parsing(spark, rows):
     assert rows(got, "case_id", "extracted_onset_days") == [
         ("12", 12), ("12.6", 13), ("n/a", None),
     ]
+
+
+def test_a_record_is_made_once_for_all_rules(spark):
+    """The record's expression stands once in the plan, not once for each rule and again in a filter."""
+    record = F.expr(
+        "named_struct('ae_detected', id > 1, 'icsr_completeness', concat('only', 'once', id), 'adverse_events', "
+        "array(named_struct('ae_description_verbatim', 'a', 'meddra_preferred_term', 'b', 'seriousness_criteria', "
+        "array('none'), 'outcome', 'fatal', 'causality_who_umc', 'certain')), 'suspect_drug', "
+        "named_struct('drug_name', 'd'), 'reporting_deadline', 'no_report_required')"
+    )
+    rows = spark.range(3).select("id", F.when(F.col("id") < 2, record).alias("ae_extraction_json"))
+    found = calls.validate_records(rows, calls.EXTRACTION_SPEC).filter(F.size("violations") > 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("onlyonce") + plan.count("concat(only") == 1
+    assert found.columns == ["id", "ae_extraction_json", "violations"]
+    assert {r.id: r.violations for r in found.collect()} == {
+        0: ["not allowed icsr_completeness"], 1: ["not allowed icsr_completeness"], 2: ["no record"]
+    }
