@@ -341,7 +341,8 @@ def render_narrative(spark, d):
 
 
 def pending_narratives(spark, d):
-    return enrichment.pending_narratives(reports(spark, d), fixtures.ae_narratives(spark, d))
+    cases = reports(spark, d, "case_id")
+    return enrichment.pending_narratives(reports(spark, d), fixtures.ae_narratives(spark, d), cases=cases)
 
 
 # --- gold ---------------------------------------------------------------------------------

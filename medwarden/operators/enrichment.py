@@ -309,12 +309,23 @@ def render_narrative(
     return reports.withColumn(out_col, F.concat(*parts))
 
 
-def pending_narratives(reports: DataFrame, narratives: DataFrame, limit: int = 10) -> DataFrame:
-    """Reports whose case has no narrative yet: the next batch in a fixed order."""
+def pending_narratives(
+    reports: DataFrame, narratives: DataFrame, limit: int = 10, cases: DataFrame | None = None
+) -> DataFrame:
+    """Reports whose case has no narrative yet: the next batch in a fixed order.
+
+    Only reports up to the last case of the batch are made and sorted with all their columns.
+    ``cases`` has the ``case_id`` of each report, where that is cheaper to read than the reports.
+    """
     order = ["case_id", "drug_name", "ae_term", "report_date"]
     rest = [c for c in reports.columns if c not in order]
+    ids = not_yet_in((reports if cases is None else cases).select("case_id"), narratives, "case_id")
+    batch = ids.orderBy(F.col("case_id").asc_nulls_last()).limit(limit)
+    # NULL where the batch has room for cases without an id, which come last: then all are looked at.
+    last = batch.agg(F.when(F.count("case_id") == limit, F.max("case_id"))).scalar()
+    near = reports.filter(F.coalesce(F.col("case_id") <= last, last.isNull()))
     return (
-        not_yet_in(reports, narratives, "case_id")
+        not_yet_in(near, narratives, "case_id")
         .orderBy(*[F.col(c).asc_nulls_last() for c in order + rest])
         .limit(limit)
     )

@@ -112,6 +112,21 @@ def test_pending_narratives(spark, limit):
     assert got == ["c1", "c3", "c4"][:limit]
 
 
+def test_pending_narratives_sort_only_the_cases_of_a_batch(spark):
+    """Reports beyond the batch's last case are not sorted; ties, repeats and NULL cases stay right."""
+    schema = "case_id string, drug_name string, ae_term string, report_date string"
+    rows = [(c, d, "t", "2024-01-01") for c in ("c1", "c2", "c2", "c3", None) for d in ("b", "a", None)]
+    reports = spark.createDataFrame(rows, schema)
+    done = spark.createDataFrame([("c1",), (None,)], "case_id string")
+    pending = [("c2", "a"), ("c2", "a"), ("c2", "b"), ("c2", "b"), ("c2", None), ("c2", None)]
+    pending += [(c, d) for c in ("c3", None) for d in ("a", "b", None)]
+    for limit in (1, 5, 8, 10, 20):
+        for cases in (None, reports.select("case_id")):
+            found = e.pending_narratives(reports, done, limit, cases=cases)
+            assert [(r.case_id, r.drug_name) for r in found.collect()] == pending[:limit]
+    assert "scalar-subquery" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fields_reach_to_their_delimiter(spark):
     text = (
         "Patient received insulin glargine 0.5 mg (oral) for pain and developed Crohn's disease "
