@@ -486,6 +486,7 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return search.search_corpus(
         narratives(spark, d),
         fact(spark, d, "case_id", "drug_name", "ae_soc_class", "ae_term", "report_date"),
+        reports(spark, d, "case_id"),
     )
 
 

@@ -156,3 +156,16 @@ def test_linked_events_keep_calls_without_events(spark, rows):
     )
     got = search.linked_events(hits, events)
     assert rows(got, "file_name", "drug_name") == [("a", "D"), ("b", None)]
+
+
+def test_corpus_takes_hot_cases_from_a_narrow_table(spark):
+    """Where the cases of the reports are given, the sketch of hot keys does not read the fact."""
+    fact = spark.createDataFrame(
+        [("c1", f"d{i}", "s", "t", "r") for i in range(50)] + [("c2", "d", "s", "t", "r")],
+        "case_id string, drug_name string, ae_soc_class string, ae_term string, report_date string",
+    )
+    texts = spark.createDataFrame([("c1", "one"), ("c2", "two"), ("c3", None)], "case_id string, narrative_text string")
+    cases = spark.createDataFrame([("c1",)] * 50 + [("c2",)], "case_id string")
+    plain, narrow = search.search_corpus(texts, fact), search.search_corpus(texts, fact, cases)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, plain.collect()))
+    assert narrow.count() == 52
