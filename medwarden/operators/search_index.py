@@ -94,14 +94,20 @@ def _write(df: DataFrame, root: str, table: str, segment: int, by: str | None =
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    # explode_outer: for explode the optimizer adds a filter that would split each text again.
-    words = docs.select(
-        F.shiftright("_row", BLOCK_BITS).alias("_block"), "_row", "_length",
-        F.explode_outer(tokens(F.col("_text"))).alias("term"),
-    ).filter(F.col("term").isNotNull())
-    # One exchange serves both counts: the words of a row's block are in one place.
-    counted = words.repartition("term", "_block").groupBy("term", "_block", "_row", "_length").agg(
-        F.count(F.lit(1)).alias("tf")
+    # Each row counts its own words, so only a word's entry is shuffled, not all its occurrences.
+    # explode_outer: otherwise the optimizer splits and sorts each text again where it is used.
+    words = docs.select("_row", "_length", F.explode_outer(F.array(F.array_sort(tokens(F.col("_text"))))).alias("_words"))
+    runs = F.transform("_words", lambda w, i: F.when((i == 0) | (w != F.get("_words", i - 1)), i))
+    starts = words.select("*", F.explode_outer(F.array(F.array_compact(runs))).alias("_at"))
+    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_words")))
+    word = F.zip_with(
+        "_at", ends, lambda a, e: F.struct(F.get("_words", a).alias("term"), (e - a).cast("long").alias("tf"))
+    )
+    counted = (
+        starts.select(F.shiftright("_row", BLOCK_BITS).alias("_block"), "_row", "_length", F.explode_outer(word).alias("_w"))
+        .select("_block", "_row", "_length", "_w.term", "_w.tf")
+        .filter(F.col("term").isNotNull())
+        .repartition("term", "_block")
     )
     entry = F.struct(F.col("_row").alias("row"), "tf", F.col("_length").alias("length"))
     return counted.groupBy("term", "_block").agg(

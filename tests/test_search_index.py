@@ -114,3 +114,13 @@ def test_ties_have_a_total_order(spark):
     corpus = spark.createDataFrame(rows, SCHEMA).repartition(4)
     got = search.keyword_search(corpus, "rash", cols=["case_id", "drug"], limit=3).collect()
     assert [r.drug for r in got] == ["drug1", "drug3", "drug5"]
+
+
+def test_postings_shuffle_a_word_once_a_row(spark):
+    """Words are counted in their row: a repeated word is one entry before the exchange."""
+    docs = spark.createDataFrame([(0, 4, "b a b b"), (1, 0, "!"), (2, 1, "a")], "_row bigint, _length int, _text string")
+    made = search_index._postings(docs)
+    got = {r.term: (r.n, r.max_tf, r.min_length, [tuple(e) for e in r.entries]) for r in made.collect()}
+    assert got == {"a": (2, 1, 1, [(0, 1, 4), (2, 1, 1)]), "b": (1, 3, 4, [(0, 3, 4)])}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
