@@ -1,17 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Items are cut into passages of up to ``PASSAGE`` words, which become TF-IDF vectors over the
-benchmark's words. A randomised SVD, computed over the partitions, gives the latent space of up to
-``RANK`` passages; a larger benchmark has several spaces. Every window of every text is searched:
-how far its projection reaches along each passage in that space names candidates, which then have
-to pass a longest common subsequence, weighted by how rare the words are, and a check for the
-item's answer.
+benchmark's words. A randomised SVD of the benchmark's and all the texts' passages, computed over the
+partitions, gives the latent space of up to ``RANK`` passages; a larger benchmark has several spaces.
+Every window of every text is searched: how far its projection reaches along each passage in that
+space names candidates, which then have to pass a longest common subsequence, weighted by how rare the
+words are, and a check for the item's answer.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -32,10 +31,12 @@ RANK, OVERSAMPLE = 256, 16
 KEPT = 0.98
 # Passages searched in one pass over the texts, in spaces of RANK; a larger benchmark takes several.
 BLOCK_PASSAGES = 2_048
-# Windows searched at once.
-_AT_ONCE = 128
-# Passages of the corpus that shape the space besides the benchmark's own: a sample by hash.
-SAMPLE_PASSAGES = 4_000
+# Passages of a space that share a bound, and passages of texts bounded at once.
+GROUP, _AT_ONCE = 8, 2_048
+# Passages of texts whose pairs of terms a task sums at once, and terms' rows that are added up together.
+_SUMMED, _STRIP = 131_072, 32
+# What all passages of the texts together weigh in a space, as a share of the benchmark's.
+CORPUS = 0.1
 # How far a candidate reaches along a passage, in lengths of the passage's vector, share of an
 # item's weight in the common subsequence, and share of the answer's words near by.
 COSINE, COMMON, ANSWER = 0.4, 0.6, 0.6
@@ -49,7 +50,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(_SIGNS).split()
 
 
-def passages_of(words: list[bytes]) -> list[list[bytes]]:
+def passages_of(words: list) -> list[list]:
     """An item's words in passages of about equal length."""
     n = -(-len(words) // PASSAGE)
     return [words[i * len(words) // n : (i + 1) * len(words) // n] for i in range(n)]
@@ -62,42 +63,94 @@ class Space:
                  passages: list[tuple[int, np.ndarray]], size: int):
         """``terms`` are the block's numbers of the basis' rows, of ``size``; ``passages`` are
         (item, rows)."""
-        self.item = np.array([i for i, _ in passages])
-        own = np.zeros((len(passages), len(terms)))
-        for at, (_, rows) in enumerate(passages):
-            own[at, rows] = idf[rows]
+        own = _own(idf, [rows for _, rows in passages])
         basis = _filled(basis, own)
         latent = own @ basis
-        self.norm = np.linalg.norm(latent, axis=1)
-        self.latent = (latent / self.norm[:, None] ** 2).T.astype(np.float32)
+        norm = np.linalg.norm(latent, axis=1)
+        latent = (latent / norm[:, None] ** 2).T
+        # Passages of like direction side by side, so that those of a group share their bound.
+        order = _likes(latent / np.linalg.norm(latent, axis=0))
+        self.item = np.array([passages[i][0] for i in order])
+        self.norm, self.latent = norm[order], latent[:, order].astype(np.float32)
         self.basis = (basis * idf[:, None]).astype(np.float32)
-        self.row = np.full(size + 1, len(terms), np.int32)
-        self.row[terms] = np.arange(len(terms))
-        self.known = np.append(idf**2, 0.0)
-        # The known words of a window bound how far it reaches.
-        self.least = COSINE * float(np.min(self.norm**2)) * (1 - 1e-4)
+        self.row = _rows(terms, size)
+        # How far a term alone can reach along any passage of a group; nothing for other terms.
+        reach = np.maximum(self.basis @ self.latent, 0)
+        most = np.maximum.reduceat(reach, np.arange(0, len(order), GROUP), axis=1)
+        self.most = np.vstack([most, np.zeros(most.shape[1], np.float32)])
+
+    def bounds(self, passages: np.ndarray) -> np.ndarray:
+        """(passages, groups): no window reaches further along a group than its passages' sum."""
+        rows = _distinct(self.row[passages], len(self.most) - 1)
+        total = np.zeros((len(rows), self.most.shape[1]), np.float32)
+        for column in rows.T:
+            total += self.most[column]
+        return total
 
     def candidates(self, windows: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(window, item, cosine) of windows that reach ``COSINE`` along a passage of an item.
 
-        ``windows`` has sorted terms. Words that are not in the passage do not shorten the reach,
-        so short items are found in any surroundings. The cosine is within the space.
+        Words that are not in the passage do not shorten the reach, so short items are found in any
+        surroundings. The cosine is within the space.
         """
-        rows = self.row[windows]
-        first = rows < len(self.known) - 1
-        first[:, 1:] &= windows[:, 1:] != windows[:, :-1]
-        at = np.flatnonzero((self.known[rows] * first).sum(axis=1) >= self.least)
+        other = len(self.basis)
+        rows = _distinct(self.row[windows], other)
+        known = rows < other
+        at = np.flatnonzero(known.any(axis=1))
         if not len(at):
             return
-        rows, first = rows[at], first[at]
-        starts = np.concatenate([[0], np.cumsum(first.sum(axis=1))[:-1]])
-        latent = np.add.reduceat(self.basis[rows[first]], starts, axis=0)
+        rows, known = rows[at], known[at]
+        starts = np.concatenate([[0], np.cumsum(known.sum(axis=1))[:-1]])
+        latent = np.add.reduceat(self.basis[rows[known]], starts, axis=0)
         reach = latent @ self.latent
         for w, p in np.argwhere(reach >= COSINE):
             cosine = reach[w, p] * self.norm[p] / np.linalg.norm(latent[w])
             yield int(at[w]), int(self.item[p]), min(1.0, float(cosine))
 
 
+def _own(idf: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
+    """TF-IDF vectors of passages, given as rows of a space's terms."""
+    own = np.zeros((len(passages), len(idf)))
+    for at, rows in enumerate(passages):
+        own[at, rows] = idf[rows]
+    return own
+
+
+def _rows(terms: np.ndarray, size: int) -> np.ndarray:
+    """The row of each of a block's ``size`` terms in a space; ``len(terms)`` for others."""
+    row = np.full(size + 1, len(terms), np.int32)
+    row[terms] = np.arange(len(terms))
+    return row
+
+
+def _distinct(rows: np.ndarray, other: int) -> np.ndarray:
+    """Rows of terms, sorted, with ``other`` in place of what repeats."""
+    rows = np.sort(rows, axis=1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = other
+    return rows
+
+
+def _likes(unit: np.ndarray) -> list[int]:
+    """An order of unit vectors (columns) in which each group holds the nearest of its first."""
+    near, left, order = unit.T @ unit, np.ones(unit.shape[1], bool), []
+    while left.any():
+        first = int(np.argmax(left))
+        best = np.argsort(np.where(left, -near[first], np.inf), kind="stable")[:GROUP]
+        best = best[left[best]]
+        left[best] = False
+        order.extend(best.tolist())
+    return order
+
+
+def _passages(lengths: np.ndarray, words: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' words in rows of ``PASSAGE``, each text from a row of its own, and texts' first rows."""
+    first = np.concatenate([[0], np.cumsum(-(-lengths // PASSAGE))])
+    rows = np.full((first[-1] + 1) * PASSAGE, other, np.int32)  # the last is empty
+    shift = first[:-1] * PASSAGE - (np.cumsum(lengths) - lengths)
+    rows[np.arange(len(words)) + np.repeat(shift, lengths)] = words
+    return rows.reshape(-1, PASSAGE), first
+
+
 def _filled(basis: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The basis and what it lacks of the passages (rows of ``own``) it keeps less than ``KEPT`` of."""
     lost = own - (own @ basis) @ basis.T
@@ -112,27 +165,33 @@ def _filled(basis: np.ndarray, own: np.ndarray) -> np.ndarray:
 class Search:
     """What a task needs to search: items, weights of terms, and the spaces of their passages."""
 
-    def __init__(self, items: list, terms: dict[bytes, int], idf: np.ndarray, spaces: list[Space]):
-        self.items, self.terms, self.idf, self.spaces = items, terms, idf, spaces
-
-    def candidates(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
-        """(first word, item, cosine) of the windows near an item."""
-        other = len(self.terms)
-        n = max(1, -(-len(words) // PASSAGE) - 1)
-        ids = np.full((n + 1) * PASSAGE, other, np.int64)
-        ids[: len(words)] = np.fromiter(map(self.terms.get, words, repeat(other)), np.int64, len(words))
-        halves = ids.reshape(-1, PASSAGE)
-        for start in range(0, n, _AT_ONCE):
-            part = halves[start : min(n, start + _AT_ONCE) + 1]
-            windows = np.sort(np.hstack([part[:-1], part[1:]]), axis=1)
+    def __init__(self, items: list, idf: np.ndarray, spaces: list[Space]):
+        """``items`` are (id, words, answer), words and answers as numbers of terms."""
+        self.items, self.idf, self.spaces = items, idf, spaces
+
+    def candidates(self, lengths: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(text, first word, item, cosine) of the windows near an item."""
+        rows, first = _passages(lengths, words, len(self.idf))
+        # A window is a passage and the next of its text; a text of one passage has one window.
+        starts = np.arange(first[-1])
+        text = np.searchsorted(first, starts, "right") - 1
+        last, alone = starts + 1 == first[text + 1], starts == first[text]
+        follow = np.where(last, len(rows) - 1, starts + 1)
+        starts, follow, text = (a[~last | alone] for a in (starts, follow, text))
+        for begin in range(0, len(starts), _AT_ONCE):
+            ones, twos = starts[begin : begin + _AT_ONCE], follow[begin : begin + _AT_ONCE]
+            held, at = np.unique(np.concatenate([ones, twos]), return_inverse=True)
             for space in self.spaces:
-                for at, item, cosine in space.candidates(windows):
-                    yield (start + at) * PASSAGE, item, cosine
-
-    def weight(self, word: bytes) -> float:
-        return float(self.idf[self.terms[word]])
-
-    def check(self, words: list[bytes], start: int, item: int) -> float:
+                bounds = space.bounds(rows[held])
+                most = bounds[at[: len(ones)]] + bounds[at[len(ones) :]]
+                near = np.flatnonzero((most >= COSINE * (1 - 1e-4)).any(axis=1))
+                windows = np.hstack([rows[ones[near]], rows[twos[near]]])
+                for w, item, cosine in space.candidates(windows):
+                    row = int(ones[near[w]])
+                    of = int(text[begin + near[w]])
+                    yield of, (row - int(first[of])) * PASSAGE, item, cosine
+
+    def check(self, words: list[int], start: int, item: int) -> float:
         """Share of the item's weight in common with the words around a window; 0 without its answer.
 
         Asked of the words around each passage's length of the window, half a passage apart.
@@ -140,11 +199,16 @@ class Search:
         _, wanted, answer = self.items[item]
         asked = set(answer)
         if not asked:
-            asked = set(sorted(set(wanted), key=lambda w: (-self.weight(w), w))[:RAREST])
+            asked = set(sorted(set(wanted), key=lambda w: (-self.idf[w], w))[:RAREST])
+        if len(asked.intersection(words[max(0, start - len(wanted)) : start + WINDOW + len(wanted)])) < (
+            ANSWER * len(asked)
+        ):
+            return 0.0
         place = {}
         for i, w in enumerate(wanted):
             place.setdefault(w, []).append(i)
-        weights = np.array([self.weight(w) for w in wanted])
+        weights = self.idf[wanted]
+        hits = {w: (np.array(at), weights[at]) for w, at in place.items()}
         share, seen = 0.0, None
         for core in range(start, start + WINDOW - PASSAGE + 1, PASSAGE // 2):
             near = words[max(0, core - len(wanted)) : core + PASSAGE + len(wanted)]
@@ -152,173 +216,217 @@ class Search:
             if near == seen or len(asked & held) < ANSWER * len(asked):
                 continue
             seen = near
-            if sum(weights[at].sum() for w, at in place.items() if w in held) < COMMON * weights.sum():
+            if weights[[w in held for w in wanted]].sum() < COMMON * weights.sum():
                 continue
             best = np.zeros(len(wanted) + 1)
             for w in near:
-                if w in place:
-                    hit = np.zeros(len(wanted))
-                    hit[place[w]] = weights[place[w]]
-                    step = np.maximum(best[1:], np.where(hit > 0, best[:-1] + hit, 0))
-                    best[1:] = np.maximum.accumulate(step)
+                if w in hits:
+                    at, more = hits[w]
+                    best[at + 1] = np.maximum(best[at + 1], best[at] + more)
+                    np.maximum.accumulate(best, out=best)
             share = max(share, float(best[-1] / weights.sum()))
         return share
 
-    def search(self, text: str | None) -> dict[int, tuple[float, float]]:
-        """Item -> (cosine, common share) of the items found in a text, the best of each."""
-        words = words_of(text)
-        found: dict[int, tuple[float, float]] = {}
-        if not words:
-            return found
-        near: dict[tuple[int, int], float] = {}
-        for start, item, cosine in self.candidates(words):
-            near[start, item] = max(cosine, near.get((start, item), 0.0))
-        for (start, item), cosine in near.items():
-            common = self.check(words, start, item)
+    def search(self, lengths: np.ndarray, words: np.ndarray) -> dict[tuple[int, int], tuple[float, float]]:
+        """(text, item) -> (cosine, common share) of the items found in texts, the best of each."""
+        near: dict[tuple[int, int, int], float] = {}
+        for text, start, item, cosine in self.candidates(lengths, words):
+            near[text, start, item] = max(cosine, near.get((text, start, item), 0.0))
+        begins, found = np.cumsum(lengths) - lengths, {}
+        of, own = -1, []
+        for (text, start, item), cosine in sorted(near.items()):
+            if text != of:
+                of, own = text, words[begins[text] : begins[text] + lengths[text]].tolist()
+            common = self.check(own, start, item)
             if common >= COMMON:
-                old = found.get(item, (0.0, 0.0))
-                found[item] = (max(old[0], cosine), max(old[1], common))
+                old = found.get((text, item), (0.0, 0.0))
+                found[text, item] = (max(old[0], cosine), max(old[1], common))
         return found
 
 
-def _document_counts(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """Texts that hold each term, and how many texts there are."""
-    size = max(terms.values(), default=-1) + 1
+def _numbered(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
+    """The texts' words as numbers of terms, in order; words that are none have the number after."""
+    other = len(terms)
     shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most a block of items' words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, held = shared.value, Counter()
+        get = shared.value.get
         for batch in batches:
+            held = []
             for text in batch.column(1):
-                held.update({get[w] for w in get.keys() & set(words_of(text.as_py()))})
-                held[-1] += 1
-        yield pa.record_batch(
-            [pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())],
-            names=["term", "n"],
-        )
+                words = words_of(text.as_py())
+                held.append(np.fromiter(map(get, words, repeat(other)), np.int32, len(words)))
+            ends = np.cumsum([0] + [len(h) for h in held]).astype(np.int32)
+            flat = np.concatenate(held) if held else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.record_batch([batch.column(0), lists], names=["_id", "_words"])
 
-    rows = docs.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r.term: r.n for r in rows.collect()}  # a row a term
-    return np.array([counts.get(t, 0) for t in range(size)], float), counts.get(-1, 0)
+    schema = T.StructType([docs.schema["_id"], T.StructField("_words", T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(run, schema)
 
 
-def _sampled(docs: DataFrame, share: float) -> DataFrame:
-    """Passages of the texts that a hash of their words picks, in words joined by spaces."""
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of a batch's texts, and their words one after the other."""
+    lists = batch.column(batch.num_columns - 1)
+    ends = lists.offsets.to_numpy()
+    return np.diff(ends).astype(np.int64), lists.values.to_numpy()[ends[0] : ends[-1]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
+def _document_counts(rows: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
+    """Texts that hold each term, how many texts and how many passages there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size + 3, np.int64)
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                for start in range(0, len(words), PASSAGE):
-                    passage = b" ".join(words[start : start + PASSAGE])
-                    if xxhash.xxh64_intdigest(passage) < share * 2**64:
-                        found.append(passage.decode("utf-8", "replace"))
-            yield pa.record_batch([pa.array(found, pa.string())], names=["passage"])
+            lengths, words = _read(batch)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            pairs = np.unique(text * (size + 1) + words)
+            held[: size + 1] += np.bincount(pairs % (size + 1), minlength=size + 1)
+            held[size + 1 :] += len(lengths), (-(-lengths // PASSAGE)).sum()
+        yield pa.record_batch(
+            [pa.array(np.arange(size + 3)), pa.array(held)], names=["term", "n"]
+        )
 
-    return docs.mapInArrow(run, "passage string")
+    counts = rows.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    found = np.zeros(size + 3, np.int64)
+    for r in counts.collect():  # a row a term
+        found[r.term] = r.n
+    return found[:size].astype(float), int(found[size + 1]), int(found[size + 2])
 
 
-def _summed(rows: DataFrame, shape: tuple[int, int], make) -> np.ndarray:
-    """The sum over all partitions of ``make(passages)``, a matrix of ``shape``.
+def _moments(rows: DataFrame, size: int, parts: list[tuple], rare: float, right: list) -> list[np.ndarray]:
+    """For each space of ``parts``, (terms, idf): X'X times its matrix of ``right``, X being the unit
+    TF-IDF vectors of all passages of the texts.
 
-    Strips of a partition's matrix are summed by strip number before the driver puts them together.
+    A task sums what its passages add to each pair of a space's terms and multiplies the sums. Strips
+    of its products are summed by number before the driver puts them together.
     """
-    strip = 512
+    shared = rows.sparkSession.sparkContext.broadcast((parts, right))
+
+    def times(passages: np.ndarray) -> list[np.ndarray]:
+        empty, products = (passages == -1).sum(axis=1), []
+        for (terms, idf), wide in zip(*shared.value, strict=True):
+            other = len(terms)
+            held = _rows(terms, size)[passages]
+            lost = ((held == other).sum(axis=1) - empty) * rare**2
+            held = _distinct(held, other)
+            values = np.append(idf, 0.0)[held]
+            norm = np.sqrt((values**2).sum(axis=1) + lost)
+            values = (values / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
+            pairs = np.zeros((other + 1) ** 2, np.float32)
+            # Terms of a passage one after the other; how many of its own follow each.
+            known = held < other
+            term, value, count = held[known].astype(np.int64), values[known], known.sum(axis=1)
+            follow = np.repeat(np.cumsum(count), count) - np.arange(len(term)) - 1
+            pairs = np.zeros(other * other, np.float32)
+            at, far = np.arange(len(term)), 0
+            while len(at):
+                weight = value[at] * value[at + far]
+                np.add.at(pairs, term[at] * other + term[at + far], weight if far else weight / 2)
+                far += 1
+                at = at[follow[at] >= far]
+            pairs = pairs.reshape(other, other)
+            products.append(((pairs + pairs.T) @ wide.astype(np.float32)).astype(float))
+        return products
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, waiting, n = None, [], 0
+
+        def add() -> None:
+            nonlocal total, waiting, n
+            new = times(np.concatenate(waiting))
+            total = new if total is None else [t + p for t, p in zip(total, new, strict=True)]
+            waiting, n = [], 0
+
         for batch in batches:
-            part = make(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            total = part if total is None else total + part
-        if total is not None:
-            at = range(0, shape[0], strip)
+            passages = _passages(*_read(batch), -1)[0][:-1]
+            for start in range(0, len(passages), _SUMMED):
+                waiting.append(passages[start : start + _SUMMED])
+                n += len(waiting[-1])
+                if n >= _SUMMED:
+                    add()
+        if n:
+            add()
+        for space, product in enumerate(total or []):
+            at = range(0, len(product), _STRIP)
             yield pa.record_batch(
-                [pa.array([i // strip for i in at], pa.int32()),
-                 pa.array([total[i : i + strip].tobytes() for i in at], pa.binary())],
-                names=["strip", "values"],
+                [pa.array([space] * len(at), pa.int32()),
+                 pa.array([i // _STRIP for i in at], pa.int32()),
+                 pa.array([product[i : i + _STRIP].tobytes() for i in at], pa.binary())],
+                names=["space", "strip", "values"],
             )
 
-    def add(parts):  # a pyarrow table: one row a partition of the bounded sample
-        total = sum(np.frombuffer(v.as_py(), float) for v in parts["values"])
+    def add_up(strips):  # a pyarrow table: one row a partition
+        total = sum(np.frombuffer(v.as_py(), float) for v in strips["values"])
         return pa.table(
-            {"strip": parts["strip"].slice(0, 1), "values": pa.array([total.tobytes()], pa.binary())}
-        )
-
-    out = "strip int, values binary"
-    parts = rows.mapInArrow(run, out).groupBy("strip").applyInArrow(add, out).collect()
-    strips = [np.frombuffer(r["values"], float).reshape(-1, shape[1]) for r in sorted(parts)]
-    return np.concatenate(strips) if strips else np.zeros(shape)
-
-
-def latent_basis(rows: DataFrame, terms: dict[bytes, int], idf: np.ndarray, rare: float) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the weighted TF-IDF matrix of (passage, weight) rows.
-
-    Randomised range finding with one power step: each pass multiplies partition by partition and
-    only matrices of the terms' size are summed.
+            {"space": strips["space"].slice(0, 1), "strip": strips["strip"].slice(0, 1),
+             "values": pa.array([total.tobytes()], pa.binary())}
+        )
+
+    out = "space int, strip int, values binary"
+    found = rows.mapInArrow(run, out).groupBy("space", "strip").applyInArrow(add_up, out)
+    sums = [np.zeros(wide.shape) for wide in right]
+    for r in found.collect():  # strips of the terms' rows
+        width = right[r.space].shape[1]
+        strip = np.frombuffer(r["values"], float).reshape(-1, width)
+        sums[r.space][r.strip * _STRIP : r.strip * _STRIP + len(strip)] = strip
+    return sums
+
+
+def latent_basis(
+    rows: DataFrame, size: int, parts: list[tuple], own: list[np.ndarray], rare: float, n: int
+) -> list[np.ndarray]:
+    """For each space of ``parts`` the right singular vectors (terms x rank) of the TF-IDF matrix of
+    its own passages and all ``n`` passages of the texts, which together weigh ``CORPUS`` of them.
+
+    Randomised range finding with one power step: each pass multiplies partition by partition, for
+    all spaces at once, and only matrices of the terms' size are summed.
     """
-    size = len(idf)
-    width = min(size, RANK + OVERSAMPLE)
-    if not size:
-        return np.zeros((0, 1))
-    shared = rows.sparkSession.sparkContext.broadcast((terms, idf))
-
-    def matrix(passages: list[str], weights: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        known, scale = shared.value
-        for passage, weight in zip(passages, weights, strict=True):
-            words = words_of(passage)
-            ids = np.unique(np.array([known[w] for w in words if w in known], np.int64))
-            values = scale[ids]
-            lost = sum(w not in known for w in words) * rare**2
-            norm = math.sqrt((values**2).sum() + lost)
-            if norm > 0:
-                yield ids, values * (weight / norm)
-
-    def times(y: np.ndarray):
-        wide = rows.sparkSession.sparkContext.broadcast(y)
-
-        def make(passages, weights) -> np.ndarray:
-            out, right = np.zeros((size, width)), wide.value
-            for ids, values in matrix(passages, weights):
-                out[ids] += values[:, None] * (values @ right[ids])
-            return out
-
-        return make
-
-    y = np.random.default_rng(7).standard_normal((size, width))
-    for _ in range(2):
-        y = np.linalg.qr(_summed(rows, (size, width), times(y)))[0]
-    small = y.T @ _summed(rows, (size, width), times(y))
-    _, vectors = np.linalg.eigh((small + small.T) / 2)
-    return y @ vectors[:, ::-1][:, :RANK]
+    own = [o / np.linalg.norm(o, axis=1)[:, None] for o in own]
 
+    def times(y: list[np.ndarray]) -> list[np.ndarray]:
+        texts = _moments(rows, size, parts, rare, y)
+        return [
+            o.T @ (o @ v) + t * (CORPUS * len(o) / max(1, n))
+            for o, v, t in zip(own, y, texts, strict=True)
+        ]
 
-def _search(docs: DataFrame, items: list[tuple], n_words: int) -> Search:
-    terms = {w: i for i, w in enumerate(sorted({w for _, words, _ in items for w in words}))}
-    counts, n = _document_counts(docs, terms)
+    rng = np.random.default_rng(7)
+    y = [rng.standard_normal((len(t), min(len(t), RANK + OVERSAMPLE))) for t, _ in parts]
+    for _ in range(2):
+        y = [np.linalg.qr(p)[0] for p in times(y)]
+    basis = []
+    for v, p in zip(y, times(y), strict=True):
+        small = v.T @ p
+        _, vectors = np.linalg.eigh((small + small.T) / 2)
+        basis.append(v @ vectors[:, ::-1][:, :RANK])
+    return basis
+
+
+def _search(docs: DataFrame, items: list[tuple]) -> tuple[DataFrame, Search]:
+    """The texts as numbers of the items' words, and what is needed to search them."""
+    words = {w for _, wanted, answer in items for w in (*wanted, *answer)}
+    terms = {w: i for i, w in enumerate(sorted(words))}
+    rows = stage(_numbered(docs, terms), "words")
+    counts, n, n_passages = _document_counts(rows, len(terms))
     rare = math.log(n + 1) + 1
     idf = rare - np.log(counts + 1)
-    share = min(1.0, SAMPLE_PASSAGES * PASSAGE / max(1, n_words))
-    sample = stage(_sampled(docs, share), "passages")
-    passages = [(i, p) for i, (_, words, _) in enumerate(items) for p in passages_of(words)]
-    passages.sort(key=lambda p: (len(p[1]), p))  # like lengths together, which bounds reach best
-    spaces = []
+    items = [(i, [terms[w] for w in wanted], [terms[w] for w in answer]) for i, wanted, answer in items]
+    passages = [(i, p) for i, (_, wanted, _) in enumerate(items) for p in passages_of(wanted)]
+    passages.sort(key=lambda p: (len(p[1]), p))  # like lengths together
+    parts, lying = [], []
     for start in range(0, len(passages), RANK):
         part = passages[start : start + RANK]
-        own = {w: i for i, w in enumerate(sorted({w for _, p in part for w in p}))}
-        numbers = np.array([terms[w] for w in own])
-        # All sampled passages together weigh a tenth of the benchmark.
-        weight = math.sqrt(0.1 * len(part) / SAMPLE_PASSAGES)
-        rows = docs.sparkSession.createDataFrame(
-            [(b" ".join(p).decode("utf-8", "replace"), 1.0) for _, p in part],
-            "passage string, weight double",
-        ).union(sample.withColumn("weight", F.lit(weight)))
-        basis = latent_basis(rows, own, idf[numbers], rare)
-        lying = [(i, np.unique([own[w] for w in p])) for i, p in part]
-        spaces.append(Space(numbers, idf[numbers], basis, lying, len(terms)))
-    return Search(items, terms, idf, spaces)
+        numbers = np.unique([w for _, p in part for w in p])
+        parts.append((numbers, idf[numbers]))
+        lying.append([(i, np.searchsorted(numbers, np.unique(p))) for i, p in part])
+    own = [_own(w, [p for _, p in at]) for (_, w), at in zip(parts, lying, strict=True)]
+    bases = latent_basis(rows, len(terms), parts, own, rare, n_passages)
+    spaces = [
+        Space(numbers, weights, basis, at, len(terms))
+        for (numbers, weights), basis, at in zip(parts, bases, lying, strict=True)
+    ]
+    return rows, Search(items, idf, spaces)
 
 
 def decontaminate(
@@ -352,10 +460,9 @@ def decontaminate(
         ]
     )
     result = docs.sparkSession.createDataFrame([], schema)
-    n_words = (rows.agg(F.sum(F.length("_text"))).first()[0] or 0) // 6
     for items in _blocks(picked):
-        search = _search(rows, items, n_words)
-        result = result.unionByName(rows.mapInArrow(_searcher(docs, search, schema), schema))
+        numbered, search = _search(rows, items)
+        result = result.unionByName(numbered.mapInArrow(_searcher(docs, search, schema), schema))
     return result
 
 
@@ -386,10 +493,9 @@ def _searcher(docs: DataFrame, search: Search, schema: T.StructType):
         types = None
         for batch in batches:
             ids, found = [], []
-            for at, text in enumerate(batch.column(1)):
-                for item, scores in own.search(text.as_py()).items():
-                    ids.append(at)
-                    found.append((own.items[item][0], *scores))
+            for (at, item), scores in own.search(*_read(batch)).items():
+                ids.append(at)
+                found.append((own.items[item][0], *scores))
             types = types or [pa.int64() if f.dataType.typeName() == "long" else None for f in schema]
             yield pa.record_batch(
                 [batch.column(0).take(pa.array(ids, pa.int64())),

@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 
+from medwarden.llm import decontaminate as decontaminate_module
 from medwarden.llm.decontaminate import decontaminate, words_of
 
 SF = "/root/testdata/sf0.01"
@@ -93,3 +94,55 @@ def test_finds_copies_of_any_length(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate(df, bench).collect()}
     assert got == {(i, i) for i in range(80)}
+
+
+def test_space_is_shaped_by_every_passage(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(zipf(rng, 20 + i % 90)) for i in range(4000)] + ["", None, "unknown"]
+    vocabulary = sorted({w for t in texts[:40] for w in words_of(t)})
+    terms = {w: i for i, w in enumerate(vocabulary)}
+    df = spark.createDataFrame(list(enumerate(texts)), "_id bigint, _text string").repartition(4)
+    rows = decontaminate_module._numbered(df, terms)
+    counts, n, n_passages = decontaminate_module._document_counts(rows, len(terms))
+    passages = [w[i : i + 32] for w in map(words_of, texts) for i in range(0, len(w), 32)]
+    assert (n, n_passages) == (len(texts), len(passages)) and n_passages > 8000
+    held = [set(words_of(t)) for t in texts]
+    assert counts.tolist() == [sum(w in h for h in held) for w in vocabulary]
+
+    rare, parts = 9.0, []
+    idf = rare - np.log(counts + 1)
+    for numbers in (np.arange(0, len(terms), 2), np.arange(1, len(terms), 2)):
+        parts.append((numbers, idf[numbers]))
+    right = [rng.standard_normal((len(t), 5)) for t, _ in parts]
+    got = decontaminate_module._moments(rows, len(terms), parts, rare, right)
+    for (numbers, weights), wide, found in zip(parts, right, got, strict=True):
+        place = {vocabulary[t]: i for i, t in enumerate(numbers)}
+        x = np.zeros((len(passages), len(numbers)))
+        for at, p in enumerate(passages):
+            for w in p:
+                if w in place:
+                    x[at, place[w]] = weights[place[w]]
+            norm = (x[at] ** 2).sum() + sum(w not in place for w in p) * rare**2
+            x[at] /= np.sqrt(norm)
+        assert np.allclose(found, x.T @ (x @ wide), rtol=1e-3, atol=1e-3)
+
+
+def test_bounds_leave_out_no_candidate(spark):
+    rng = np.random.default_rng(4)
+    terms, passages = np.arange(500), [np.unique(rng.integers(0, 500, 25)) for _ in range(40)]
+    basis = np.linalg.qr(rng.standard_normal((500, 30)))[0]
+    space = decontaminate_module.Space(
+        terms, rng.uniform(1, 8, 500), basis, list(enumerate(passages)), 500
+    )
+    texts = [np.concatenate([passages[i % 40], rng.integers(0, 501, i)]).astype(np.int32) for i in range(90)]
+    texts.insert(0, np.zeros(0, np.int32))
+    lengths, words = np.array([len(t) for t in texts]), np.concatenate(texts)
+    search = decontaminate_module.Search([], np.ones(500), [space])
+    got = {c[:3] for c in search.candidates(lengths, words)}
+    every = set()
+    for at, text in enumerate(texts):
+        for start in range(0, max(1, len(text) - 32) if len(text) else 0, 32):
+            window = np.full((1, 64), 500, np.int32)
+            window[0, : len(text[start : start + 64])] = text[start : start + 64]
+            every |= {(at, start, item) for _, item, _ in space.candidates(window)}
+    assert got == every and len(got) > 60
