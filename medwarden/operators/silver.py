@@ -70,7 +70,14 @@ def fact_ae_calls(extractions: DataFrame, source: str = "CALL_CENTER") -> DataFr
     found = extractions.filter(
         F.col("ae_extraction_json").isNotNull() & F.col(record + "ae_detected")
     )
-    return found.withColumn("event", F.explode(record + "adverse_events")).select(
+    # posexplode_outer: for explode the optimizer adds a filter that would build the events again.
+    events = found.select(
+        "file_name",
+        "ae_extraction_json",
+        "extracted_at",
+        F.posexplode_outer(record + "adverse_events").alias("at", "event"),
+    )
+    return events.filter(F.col("at").isNotNull()).select(
         F.col("file_name").alias("source_call_id"),
         F.lit(source).alias("data_source"),
         F.col(record + "suspect_drug.drug_name").alias("drug_name"),

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from medwarden.operators import dashboards, gold, signals, triage
+from medwarden.operators import dashboards, gold, signals, silver, triage
 from medwarden.operators.skew import hot_keys, salted_join
 
 
@@ -251,3 +251,21 @@ def test_severity_matrix_rows_sum_to_the_reports(spark, rows):
     got = dashboards.drug_severity_matrix(fact)
     assert got.columns == ["drug_name", "Mild", "Moderate", "Severe", "other"]
     assert rows(got) == [("a", 2, 0, 0, 1), ("b", 0, 0, 1, 0), ("c", 0, 0, 0, 1)]
+
+
+def test_events_of_calls_are_built_once(spark, rows):
+    event = "named_struct('meddra_preferred_term', term, 'meddra_soc_class', term, " \
+        "'seriousness_criteria', array('none'), 'outcome', term, 'causality_who_umc', term)"
+    record = f"""named_struct('ae_detected', true, 'suspect_drug', named_struct('drug_name', term,
+        'drug_dose', term, 'drug_route', term), 'patient', named_struct('age', term, 'sex', term),
+        'reporting_deadline', term, 'narrative_summary', term, 'adverse_events', case n
+        when 0 then null when 1 then slice(array({event}), 1, 0) when 2 then array({event}, null)
+        else array({event}) end)"""
+    data = spark.createDataFrame([(i, f"t{i}") for i in range(4)], "n int, term string")
+    calls = data.selectExpr("concat('f', n) as file_name", f"{record} as ae_extraction_json",
+                            "current_timestamp() as extracted_at", "n as event", "n as at")
+    facts = silver.fact_ae_calls(calls)
+    got = rows(facts, "source_call_id", "ae_preferred_term")
+    assert got == [("f2", "t2"), ("f2", None), ("f3", "t3")]
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
