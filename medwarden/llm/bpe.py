@@ -26,8 +26,8 @@ from medwarden.llm.common import kept_in_worker, text_of
 # Bytes the rolling hash covers; one white space in CHUNK_WORDS ends a chunk on average.
 HASH_BYTES = 8
 CHUNK_WORDS = 128
-# What a worker keeps: words, and bytes of chunks.
-_KEPT_WORDS, _KEPT_LENGTH, _KEPT_BYTES = 600_000, 64, 32_000_000
+# What a worker keeps: words (half of them those in use, half those before), and bytes of chunks.
+_KEPT_WORDS, _KEPT_LENGTH, _KEPT_BYTES = 300_000, 64, 32_000_000
 _POWERS = np.array([pow(0x01000193, k, 1 << 32) for k in range(HASH_BYTES)], np.uint32)
 _MARKS = b".,;:!?"
 # Bytes cut at once, which bounds the arrays for long texts.
@@ -70,24 +70,31 @@ class Encoder:
         suffix = json.loads(definition)["model"].get("end_of_word_suffix")
         size = self._tokenizer.get_vocab_size()
         self._decimals = list(map(str, range(size)))
-        self._tokens = list(map(self._tokenizer.id_to_token, range(size)))
-        self._ends = [bool(suffix) and t.endswith(suffix) for t in self._tokens]
-        self._words: dict[bytes, Encoded] = {}
+        tokens = list(map(self._tokenizer.id_to_token, range(size)))
+        self._token_of = dict(zip(self._decimals, tokens, strict=True))
+        self._ends = [bool(suffix) and t.endswith(suffix) for t in tokens]
+        # Only the decimals, as there are many words.
+        self._words: dict[bytes, str] = {}
+        self._earlier: dict[bytes, str] = {}
         self._chunks: dict[bytes, Encoded] = {}
         self._chunk_bytes = 0
 
-    def _plain(self, texts: list[bytes]) -> list[Encoded]:
+    def _plain(self, texts: list[bytes]) -> list[str]:
         made = self._tokenizer.encode_batch_fast(
             [t.decode("utf-8") for t in texts], add_special_tokens=False
         )
-        return [self._encoded(e.ids) for e in made]
+        return [self._written(e.ids) for e in made]
 
-    def _encoded(self, ids: list[int]) -> Encoded:
-        decimals, tokens = self._decimals, self._tokens
-        return Encoded(len(ids), " ".join([decimals[i] for i in ids]), " ".join([tokens[i] for i in ids]))
+    def _written(self, ids: list[int]) -> str:
+        decimals = self._decimals
+        return " ".join([decimals[i] for i in ids])
 
-    def _parts(self, parts: list[bytes]) -> dict[bytes, Encoded]:
-        """Each part encoded; runs of plain letters all in one text, as each is one word in it, too."""
+    def _encoded(self, written: str) -> Encoded:
+        ids, tokens = written.split(), self._token_of
+        return Encoded(len(ids), written, " ".join([tokens[i] for i in ids]))
+
+    def _parts(self, parts: list[bytes]) -> dict[bytes, str]:
+        """The ids of each part; runs of plain letters all in one text, as each is one word in it, too."""
         plain = [p for p in parts if p.isalpha()]
         made = {}
         if len(plain) > 1:
@@ -99,34 +106,38 @@ class Encoder:
                     found.append(ids[start:at])
                     start = at
             if len(found) == len(plain) and start == len(ids):
-                made = dict(zip(plain, map(self._encoded, found), strict=True))
+                made = dict(zip(plain, map(self._written, found), strict=True))
         left = [p for p in parts if p not in made]
         if left:
             made.update(zip(left, self._plain(left), strict=True))
         return made
 
-    def _of_words(self, words: list[bytes]) -> list[Encoded]:
+    def _of_words(self, words: list[bytes]) -> list[str]:
         kept = self._words
         found = list(map(kept.get, words))
         if None in found:
             at = [i for i, f in enumerate(found) if f is None]
-            new = {w: _apart(w) for w in {words[i] for i in at}}
-            needed = list({p for parts in new.values() for p in parts if p not in kept})
-            made = self._parts(needed)
+            asked, earlier = {words[i] for i in at}, self._earlier
+            made = {w: earlier[w] for w in asked if w in earlier}
+            new = {w: _apart(w) for w in asked if w not in made}
+            needed = {p for parts in new.values() for p in parts if p not in kept and p not in made}
+            made.update((p, earlier[p]) for p in needed if p in earlier)
+            needed = [p for p in needed if p not in made]
+            made.update(self._parts(needed))
             for word, parts in new.items():
                 if word not in made:
-                    made[word] = _join([made.get(p) or kept[p] for p in parts])
+                    made[word] = _spaced([made[p] if p in made else kept[p] for p in parts])
             for i in at:
                 found[i] = made[words[i]]
-            if len(kept) + len(made) > _KEPT_WORDS:
-                kept.clear()
-            kept.update((w, e) for w, e in made.items() if len(w) <= _KEPT_LENGTH)
+            if len(kept) + len(made) > _KEPT_WORDS // 2:
+                self._earlier, self._words = kept, {}
+            self._words.update((w, e) for w, e in made.items() if len(w) <= _KEPT_LENGTH)
         return found
 
     def _chunk(self, chunk: bytes) -> Encoded:
         found = self._chunks.get(chunk)
         if found is None:
-            found = _join(self._of_words(chunk.split()))
+            found = self._encoded(_spaced(self._of_words(chunk.split())))
             if self._chunk_bytes > _KEPT_BYTES:
                 self._chunks.clear()
                 self._chunk_bytes = 0
@@ -140,7 +151,7 @@ class Encoder:
         if not tail or not head:
             return True
         both = self._plain([tail[0] + right[: len(right) - len(right.lstrip())] + head[0]])[0]
-        return both.ids == _join(self._of_words([tail[0], head[0]])).ids
+        return both == _spaced(self._of_words([tail[0], head[0]]))
 
     def encode(self, text: bytes) -> Encoded:
         ends = cuts(text)
@@ -149,7 +160,7 @@ class Encoder:
             part = text[start:end]
             if parts and not self._agree(parts[-1], part):
                 parts[-1] += part
-                made[-1] = self._plain([parts[-1]])[0]
+                made[-1] = self._encoded(self._plain([parts[-1]])[0])
             else:
                 parts.append(part)
                 made.append(self._chunk(part))
@@ -169,6 +180,10 @@ def _apart(word: bytes) -> list[bytes]:
     return parts if core is word else [*parts, word[len(core) :]]
 
 
+def _spaced(parts: list[str]) -> str:
+    return " ".join(filter(None, parts))
+
+
 def _join(parts: list[Encoded]) -> Encoded:
     counts, ids, tokens = zip(*parts, strict=True) if parts else ((), (), ())
     if 0 in counts:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers as P
 import pytest
@@ -66,3 +67,16 @@ def test_odd_tables(spark, rows):
     assert bpe.bpe_round_trip(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         bpe.bpe_round_trip(df, P.path("byte_bpe_50k.json"))
+
+
+def test_the_words_a_worker_keeps_take_little_memory():
+    encoder = bpe.Encoder(open(PATH, encoding="utf-8").read())
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)).encode() for _ in range(20_000)]
+    tracemalloc.start()
+    try:
+        encoder._of_words(words)
+        each = tracemalloc.get_traced_memory()[0] / len(encoder._words)
+    finally:
+        tracemalloc.stop()
+    assert each * bpe._KEPT_WORDS < 100_000_000
