@@ -67,20 +67,31 @@ def ae_reports(
     def load(name: str) -> DataFrame:
         return table(spark, sf_dir, name)
 
-    # name -> (table, alias, join condition), in join order
-    joins = {
-        "part": ("part", "pt", "l_partkey = p_partkey"),
-        "orders": ("orders", "o", "l_orderkey = o_orderkey"),
-        "customer": ("customer", "c", "o_custkey = c_custkey"),
-        "customer_nation": ("nation", "cn", "c_nationkey = cn.n_nationkey"),
-        "supplier": ("supplier", "s", "l_suppkey = s_suppkey"),
-        "supplier_nation": ("nation", "sn", "s_nationkey = sn.n_nationkey"),
-        "region": ("region", "r", "sn.n_regionkey = r_regionkey"),
-    }
+    # Chains of name -> (table, alias, join condition). Those of a chain are joined with each other
+    # first, so that the reports are moved once a chain; the widest values come last.
+    chains: list[dict[str, tuple[str, str, str]]] = [
+        {
+            "supplier": ("supplier", "s", "l_suppkey = s_suppkey"),
+            "supplier_nation": ("nation", "sn", "s_nationkey = sn.n_nationkey"),
+            "region": ("region", "r", "sn.n_regionkey = r_regionkey"),
+        },
+        {
+            "orders": ("orders", "o", "l_orderkey = o_orderkey"),
+            "customer": ("customer", "c", "o_custkey = c_custkey"),
+            "customer_nation": ("nation", "cn", "c_nationkey = cn.n_nationkey"),
+        },
+        {"part": ("part", "pt", "l_partkey = p_partkey")},
+    ]
     rows = load("lineitem")
-    for name, (source, alias, condition) in joins.items():
-        if name in needed:
-            rows = rows.join(load(source).alias(alias), F.expr(condition))
+    for chain in chains:
+        used = [join for name, join in chain.items() if name in needed]
+        if not used:
+            continue
+        (source, alias, onto), *more = used
+        side = load(source).alias(alias)
+        for source, alias, condition in more:
+            side = side.join(load(source).alias(alias), F.expr(condition))
+        rows = rows.join(side, F.expr(onto))
     return rows.select(*[F.expr(REPORT_COLUMNS[c][0]).alias(c) for c in wanted])
 
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from medwarden.sources import files, tables
+from medwarden.sources import files, fixtures, tables
 
 
 def record(case, **extra):
@@ -112,3 +112,16 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = tables.load_ae_reports(spark, path).filter("drug_name = 'D'").select("case_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(drug_name,D)" in plan and "manufacturer" not in plan
+
+
+def test_reports_are_joined_once_a_chain(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    reports = fixtures.ae_reports(spark, sf_dir)
+
+    def joins_of_reports(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.nodeName() == "Join" and "l_orderkey" in plan.collectLeaves().toString()
+        return own + sum(map(joins_of_reports, below))
+
+    assert joins_of_reports(reports._jdf.queryExecution().optimizedPlan()) == 3
+    assert reports.count() == fixtures.table(spark, sf_dir, "lineitem").count()
