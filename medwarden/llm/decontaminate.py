@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +33,13 @@ KEPT = 0.98
 BLOCK_PASSAGES = 2_048
 # Passages of a space that share a bound, and passages of texts bounded at once.
 GROUP, _AT_ONCE = 8, 2_048
-# Passages of texts whose pairs of terms a task sums at once, and terms' rows that are added up together.
-_SUMMED, _STRIP = 131_072, 32
+# Bytes of texts cut into words at once.
+_BYTES = 1 << 20
+# Passages of texts whose pairs of terms are sums of their own, those summed at once, and terms' rows
+# that are added up together.
+_SUMMED, _SLICE, _STRIP = 131_072, 4_096, 8
+# Pairs of terms, of all spaces together, up to which a task keeps its sums until its end.
+_KEPT_PAIRS = 1 << 24
 # What all passages of the texts together weigh in a space, as a share of the benchmark's.
 CORPUS = 0.1
 # How far a candidate reaches along a passage, in lengths of the passage's vector, share of an
@@ -225,6 +230,8 @@ class Search:
                     best[at + 1] = np.maximum(best[at + 1], best[at] + more)
                     np.maximum.accumulate(best, out=best)
             share = max(share, float(best[-1] / weights.sum()))
+            if share > 1 - 1e-9:  # all of it
+                break
         return share
 
     def search(self, lengths: np.ndarray, words: np.ndarray) -> dict[tuple[int, int], tuple[float, float]]:
@@ -244,21 +251,50 @@ class Search:
         return found
 
 
+def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """How many words each text has, and all their words (see ``words_of``), ``_BYTES`` at a time."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + _BYTES, "right")) - 1)
+        bounds = ends[at : end + 1] - ends[at]
+        part = data.slice(int(ends[at]), int(bounds[-1])).to_pybytes() if bounds[-1] else b""
+        part = part.lower().translate(_SIGNS)
+        letter = np.frombuffer(part, np.uint8) != 32
+        first, last = letter.copy(), letter.copy()
+        first[1:] &= ~letter[:-1]
+        last[:-1] &= ~letter[1:]
+        # A word ends with its text, whatever the next one starts with.
+        between = bounds[(bounds > 0) & (bounds < len(part))]
+        first[between], last[between - 1] = letter[between], letter[between - 1]
+        first, last = np.flatnonzero(first), np.flatnonzero(last)
+        starts = np.concatenate([[0], np.cumsum(last + 1 - first)])
+        letters = part.translate(None, b" ")
+        words = [None, pa.py_buffer(starts), pa.py_buffer(letters)]
+        yield (
+            np.diff(np.searchsorted(first, bounds)),
+            pa.Array.from_buffers(pa.large_binary(), len(first), words),
+        )
+        at = end
+
+
 def _numbered(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     """The texts' words as numbers of terms, in order; words that are none have the number after."""
     other = len(terms)
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most a block of items' words
+    # At most a block of items' words.
+    shared = docs.sparkSession.sparkContext.broadcast(sorted(terms, key=terms.get))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        known = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            held = []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                held.append(np.fromiter(map(get, words, repeat(other)), np.int32, len(words)))
-            ends = np.cumsum([0] + [len(h) for h in held]).astype(np.int32)
-            flat = np.concatenate(held) if held else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            lengths, numbers = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+            for counts, words in _words(batch.column(1)):
+                lengths.append(counts)
+                numbers.append(pc.index_in(words, value_set=known).fill_null(other).to_numpy())
+            ends = np.cumsum(np.concatenate(lengths)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(numbers)))
             yield pa.record_batch([batch.column(0), lists], names=["_id", "_words"])
 
     schema = T.StructType([docs.schema["_id"], T.StructField("_words", T.ArrayType(T.IntegerType()))])
@@ -276,12 +312,13 @@ def _document_counts(rows: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     """Texts that hold each term, how many texts and how many passages there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size + 3, np.int64)
+        held, place = np.zeros(size + 3, np.int64), np.zeros(size + 1, np.int64)
         for batch in batches:
             lengths, words = _read(batch)
-            text = np.repeat(np.arange(len(lengths)), lengths)
-            pairs = np.unique(text * (size + 1) + words)
-            held[: size + 1] += np.bincount(pairs % (size + 1), minlength=size + 1)
+            for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+                own, at = words[end - n : end], np.arange(n)
+                place[own] = at
+                held[own[place[own] == at]] += 1  # one place of each of its words
             held[size + 1 :] += len(lengths), (-(-lengths // PASSAGE)).sum()
         yield pa.record_batch(
             [pa.array(np.arange(size + 3)), pa.array(held)], names=["term", "n"]
@@ -294,98 +331,139 @@ def _document_counts(rows: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     return found[:size].astype(float), int(found[size + 1]), int(found[size + 2])
 
 
-def _moments(rows: DataFrame, size: int, parts: list[tuple], rare: float, right: list) -> list[np.ndarray]:
-    """For each space of ``parts``, (terms, idf): X'X times its matrix of ``right``, X being the unit
-    TF-IDF vectors of all passages of the texts.
-
-    A task sums what its passages add to each pair of a space's terms and multiplies the sums. Strips
-    of its products are summed by number before the driver puts them together.
+def _summed_pairs(passages: np.ndarray, size: int, terms: np.ndarray, idf: np.ndarray, rare: float):
+    """X'X over a space's terms, X being the unit TF-IDF vectors of ``passages``."""
+    other, row, weight = len(terms), _rows(terms, size), np.append(idf, 0.0)
+    pairs = np.zeros(other * other, np.float32)
+    for start in range(0, len(passages), _SLICE):
+        part = passages[start : start + _SLICE]
+        held = row[part]
+        lost = ((held == other).sum(axis=1) - (part == -1).sum(axis=1)) * rare**2
+        held = _distinct(held, other)
+        values = weight[held]
+        norm = np.sqrt((values**2).sum(axis=1) + lost)
+        values = (values / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
+        # Terms of a passage one after the other; how many of its own follow each.
+        known = held < other
+        term, value, count = held[known].astype(np.int64), values[known], known.sum(axis=1)
+        follow = np.repeat(np.cumsum(count), count) - np.arange(len(term)) - 1
+        at, far = np.arange(len(term)), 0
+        while len(at):
+            product = value[at] * value[at + far]
+            np.add.at(pairs, term[at] * other + term[at + far], product if far else product / 2)
+            far += 1
+            at = at[follow[at] >= far]
+    pairs = pairs.reshape(other, other)
+    return pairs + pairs.T
+
+
+def _pairs(rows: DataFrame, size: int, parts: list[tuple], rare: float) -> DataFrame:
+    """For each space of ``parts``, (terms, idf): X'X, X being the unit TF-IDF vectors of all passages
+    of the texts; in strips of ``_STRIP`` rows, of which those values that are not 0.
+
+    Read once: a task sums what its passages add to each pair of a space's terms, and strips are
+    added up by number.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((parts, right))
-
-    def times(passages: np.ndarray) -> list[np.ndarray]:
-        empty, products = (passages == -1).sum(axis=1), []
-        for (terms, idf), wide in zip(*shared.value, strict=True):
-            other = len(terms)
-            held = _rows(terms, size)[passages]
-            lost = ((held == other).sum(axis=1) - empty) * rare**2
-            held = _distinct(held, other)
-            values = np.append(idf, 0.0)[held]
-            norm = np.sqrt((values**2).sum(axis=1) + lost)
-            values = (values / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
-            pairs = np.zeros((other + 1) ** 2, np.float32)
-            # Terms of a passage one after the other; how many of its own follow each.
-            known = held < other
-            term, value, count = held[known].astype(np.int64), values[known], known.sum(axis=1)
-            follow = np.repeat(np.cumsum(count), count) - np.arange(len(term)) - 1
-            pairs = np.zeros(other * other, np.float32)
-            at, far = np.arange(len(term)), 0
-            while len(at):
-                weight = value[at] * value[at + far]
-                np.add.at(pairs, term[at] * other + term[at + far], weight if far else weight / 2)
-                far += 1
-                at = at[follow[at] >= far]
-            pairs = pairs.reshape(other, other)
-            products.append(((pairs + pairs.T) @ wide.astype(np.float32)).astype(float))
-        return products
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, n = None, [], 0
+    shared = rows.sparkSession.sparkContext.broadcast(parts)
+    widths = [len(terms) for terms, _ in parts]
+    keep = sum(width**2 for width in widths) <= _KEPT_PAIRS
+
+    def batch_of(space: int, strip: int, values: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(values)
+        return pa.record_batch(
+            [pa.array([space], pa.int32()), pa.array([strip], pa.int32()),
+             pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+             pa.array([values[at].astype(np.float32).tobytes()], pa.binary())],
+            names=["space", "strip", "at", "values"],
+        )
 
-        def add() -> None:
-            nonlocal total, waiting, n
-            new = times(np.concatenate(waiting))
-            total = new if total is None else [t + p for t, p in zip(total, new, strict=True)]
-            waiting, n = [], 0
+    def strips(space: int, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(pairs), _STRIP):
+            yield batch_of(space, start // _STRIP, pairs[start : start + _STRIP].ravel())
 
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        waiting, n = [], 0
         for batch in batches:
             passages = _passages(*_read(batch), -1)[0][:-1]
             for start in range(0, len(passages), _SUMMED):
                 waiting.append(passages[start : start + _SUMMED])
                 n += len(waiting[-1])
                 if n >= _SUMMED:
-                    add()
+                    yield np.concatenate(waiting)
+                    waiting, n = [], 0
         if n:
-            add()
-        for space, product in enumerate(total or []):
-            at = range(0, len(product), _STRIP)
-            yield pa.record_batch(
-                [pa.array([space] * len(at), pa.int32()),
-                 pa.array([i // _STRIP for i in at], pa.int32()),
-                 pa.array([product[i : i + _STRIP].tobytes() for i in at], pa.binary())],
-                names=["space", "strip", "values"],
-            )
+            yield np.concatenate(waiting)
 
-    def add_up(strips):  # a pyarrow table: one row a partition
-        total = sum(np.frombuffer(v.as_py(), float) for v in strips["values"])
-        return pa.table(
-            {"space": strips["space"].slice(0, 1), "strip": strips["strip"].slice(0, 1),
-             "values": pa.array([total.tobytes()], pa.binary())}
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {}
+        for passages in grouped(batches):
+            for space, (terms, idf) in enumerate(shared.value):
+                pairs = _summed_pairs(passages, size, terms, idf, rare)
+                if not keep:
+                    yield from strips(space, pairs)
+                elif space in total:
+                    total[space] += pairs
+                else:
+                    total[space] = pairs
+        for space, pairs in total.items():
+            yield from strips(space, pairs)
+
+    def add_up(found):  # a pyarrow table: one row a partial sum
+        space, strip = found["space"][0].as_py(), found["strip"][0].as_py()
+        total = np.zeros(_STRIP * widths[space])
+        for at, values in zip(found["at"], found["values"], strict=True):
+            total[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(values.as_py(), np.float32)
+        return pa.Table.from_batches([batch_of(space, strip, total)])
+
+    out = "space int, strip int, at binary, values binary"
+    return rows.mapInArrow(run, out).groupBy("space", "strip").applyInArrow(add_up, out)
+
+
+def _times(pairs: DataFrame, right: list[np.ndarray]) -> list[np.ndarray]:
+    """The matrix of each space in ``pairs`` times its matrix of ``right``, strip by strip."""
+    shared = pairs.sparkSession.sparkContext.broadcast(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            products = []
+            for r in zip(*batch.columns, strict=True):
+                space, strip, at, values = (v.as_py() for v in r)
+                wide = shared.value[space]
+                full = np.zeros((min(_STRIP, len(wide) - strip * _STRIP), len(wide)))
+                full.flat[np.frombuffer(at, np.int32)] = np.frombuffer(values, np.float32)
+                products.append((full @ wide).tobytes())
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(products, pa.binary())],
+                names=["space", "strip", "product"],
+            )
 
-    out = "space int, strip int, values binary"
-    found = rows.mapInArrow(run, out).groupBy("space", "strip").applyInArrow(add_up, out)
     sums = [np.zeros(wide.shape) for wide in right]
-    for r in found.collect():  # strips of the terms' rows
-        width = right[r.space].shape[1]
-        strip = np.frombuffer(r["values"], float).reshape(-1, width)
+    for r in pairs.mapInArrow(run, "space int, strip int, product binary").collect():  # terms' rows
+        strip = np.frombuffer(r["product"], float).reshape(-1, right[r.space].shape[1])
         sums[r.space][r.strip * _STRIP : r.strip * _STRIP + len(strip)] = strip
     return sums
 
 
+def _moments(rows: DataFrame, size: int, parts: list[tuple], rare: float, right: list) -> list[np.ndarray]:
+    """For each space of ``parts``, (terms, idf): X'X times its matrix of ``right``, X being the unit
+    TF-IDF vectors of all passages of the texts. ``latent_basis`` multiplies more often and keeps X'X."""
+    return _times(_pairs(rows, size, parts, rare), right)
+
+
 def latent_basis(
     rows: DataFrame, size: int, parts: list[tuple], own: list[np.ndarray], rare: float, n: int
 ) -> list[np.ndarray]:
     """For each space of ``parts`` the right singular vectors (terms x rank) of the TF-IDF matrix of
     its own passages and all ``n`` passages of the texts, which together weigh ``CORPUS`` of them.
 
-    Randomised range finding with one power step: each pass multiplies partition by partition, for
-    all spaces at once, and only matrices of the terms' size are summed.
+    Randomised range finding with one power step. The texts are read once, for X'X of all spaces;
+    each step multiplies that, strip by strip.
     """
+    pairs = stage(_pairs(rows, size, parts, rare), "pairs")
     own = [o / np.linalg.norm(o, axis=1)[:, None] for o in own]
 
     def times(y: list[np.ndarray]) -> list[np.ndarray]:
-        texts = _moments(rows, size, parts, rare, y)
+        texts = _times(pairs, y)
         return [
             o.T @ (o @ v) + t * (CORPUS * len(o) / max(1, n))
             for o, v, t in zip(own, y, texts, strict=True)

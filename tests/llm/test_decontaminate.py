@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from medwarden.llm import decontaminate as decontaminate_module
 from medwarden.llm.decontaminate import decontaminate, words_of
@@ -146,3 +147,47 @@ def test_bounds_leave_out_no_candidate(spark):
             window[0, : len(text[start : start + 64])] = text[start : start + 64]
             every |= {(at, start, item) for _, item, _ in space.candidates(window)}
     assert got == every and len(got) > 60
+
+
+def test_words_are_cut_as_texts_are(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aB9 .’é\n\t-", k=rng.randrange(12))) for _ in range(3000)]
+    texts += ["", None, "x" * 9, " y ", "é", None, "a" * 3_000_000, "b c", ""]
+    counts, words = zip(*decontaminate_module._words(pa.array([None, "no", *texts])[2:]), strict=True)
+    assert np.concatenate(counts).tolist() == [len(words_of(t)) for t in texts] and len(counts) > 2
+    assert [w for part in words for w in part.to_pylist()] == [w for t in texts for w in words_of(t)]
+    assert [len(n) for n, _ in decontaminate_module._words(pa.array([None, ""], pa.string()))] == [2]
+
+
+def test_texts_are_read_once_for_all_steps_of_the_basis(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    passages = rng.integers(0, 301, (9000, 32)).astype(np.int32)  # 300: no term
+    texts = [(i, p.ravel().tolist()) for i, p in enumerate(passages.reshape(-1, 3, 32))]
+    df = spark.createDataFrame(texts, "_id int, _words array<int>").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counts = np.bincount(passages.ravel())[:300]
+    parts = [(t, 9 - np.log(counts[t])) for t in (np.arange(200), np.arange(100, 300))]
+    own = [decontaminate_module._own(w, list(rng.integers(0, 200, (40, 20)))) for _, w in parts]
+    found = []
+    for kept in (1 << 24, 0):  # sums kept until a task ends, or handed on for every 1,000 passages
+        monkeypatch.setattr(decontaminate_module, "_KEPT_PAIRS", kept)
+        monkeypatch.setattr(decontaminate_module, "_SUMMED", 1000)
+        read.value = 0
+        rows = df.mapInArrow(counted, df.schema)
+        found.append(decontaminate_module.latent_basis(rows, 300, parts, own, 9.0, 9000))
+        assert read.value == 3000  # each text once, not once a step
+    for (terms, weights), first, second in zip(parts, *found, strict=True):
+        assert np.allclose(np.abs((first * second).sum(axis=0))[:30], 1, atol=1e-3)
+        held = np.zeros((9000, 301))
+        held[np.arange(9000)[:, None], passages] = 1
+        x = held[:, terms] * weights
+        rest = 9.0**2 * np.isin(passages, terms, invert=True).sum(axis=1)
+        x /= np.sqrt((x**2).sum(axis=1) + rest)[:, None]
+        got = decontaminate_module._summed_pairs(passages, 300, terms, weights, 9.0)
+        assert np.allclose(got, x.T @ x, rtol=1e-3, atol=1e-3)
