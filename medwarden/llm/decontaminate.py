@@ -37,7 +37,9 @@ GROUP, _AT_ONCE = 8, 2_048
 _BYTES = 1 << 20
 # Passages of texts whose pairs of terms are sums of their own, those summed at once, and terms' rows
 # that are added up together.
-_SUMMED, _SLICE, _STRIP = 131_072, 4_096, 8
+_SUMMED, _SLICE, _STRIP = 262_144, 4_096, 8
+# Places in a strip: a space has at most RANK * PASSAGE terms.
+_PLACE = np.min_scalar_type(RANK * PASSAGE * _STRIP - 1)
 # Pairs of terms, of all spaces together, up to which a task keeps its sums until its end.
 _KEPT_PAIRS = 1 << 24
 # What all passages of the texts together weigh in a space, as a share of the benchmark's.
@@ -372,7 +374,7 @@ def _pairs(rows: DataFrame, size: int, parts: list[tuple], rare: float) -> DataF
         at = np.flatnonzero(values)
         return pa.record_batch(
             [pa.array([space], pa.int32()), pa.array([strip], pa.int32()),
-             pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+             pa.array([at.astype(_PLACE).tobytes()], pa.binary()),
              pa.array([values[at].astype(np.float32).tobytes()], pa.binary())],
             names=["space", "strip", "at", "values"],
         )
@@ -412,7 +414,7 @@ def _pairs(rows: DataFrame, size: int, parts: list[tuple], rare: float) -> DataF
         space, strip = found["space"][0].as_py(), found["strip"][0].as_py()
         total = np.zeros(_STRIP * widths[space])
         for at, values in zip(found["at"], found["values"], strict=True):
-            total[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(values.as_py(), np.float32)
+            total[np.frombuffer(at.as_py(), _PLACE)] += np.frombuffer(values.as_py(), np.float32)
         return pa.Table.from_batches([batch_of(space, strip, total)])
 
     out = "space int, strip int, at binary, values binary"
@@ -430,7 +432,7 @@ def _times(pairs: DataFrame, right: list[np.ndarray]) -> list[np.ndarray]:
                 space, strip, at, values = (v.as_py() for v in r)
                 wide = shared.value[space]
                 full = np.zeros((min(_STRIP, len(wide) - strip * _STRIP), len(wide)))
-                full.flat[np.frombuffer(at, np.int32)] = np.frombuffer(values, np.float32)
+                full.flat[np.frombuffer(at, _PLACE)] = np.frombuffer(values, np.float32)
                 products.append((full @ wide).tobytes())
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(products, pa.binary())],
