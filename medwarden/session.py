@@ -5,6 +5,9 @@ Everything here is a plain Spark SQL setting; the library never needs a custom o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Runtime settings. Adaptive execution sizes reducers, turns small joins into broadcasts from
@@ -25,6 +28,18 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within this, the shuffle files of a job go when it ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (

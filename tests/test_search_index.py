@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from medwarden.operators import search, search_index
+from medwarden.session import dropped_shuffles
 
 WORDS = ["rash", "liver", "pain", "mild", "severe", "the", "the", "café", "x1"]
 SCHEMA = "case_id string, narrative_text string, drug string"
@@ -124,3 +125,54 @@ def test_postings_shuffle_a_word_once_a_row(spark):
     assert got == {"a": (2, 1, 1, [(0, 1, 4), (2, 1, 1)]), "b": (1, 3, 4, [(0, 3, 4)])}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_a_text_with_several_reports_is_indexed_once(spark, tmp_path):
+    """Three reports of a case share its text: one entry a word that counts for three rows."""
+    rows = [("c1", "rash rash pain", drug) for drug in ("A", "B", "A")] + [("c2", "rash rash pain", "A"), ("c1", "rash", "A")]
+    root, corpus = str(tmp_path), spark.createDataFrame(rows, SCHEMA).repartition(3)
+    search_index.write_segment(corpus, root, cols=["drug"])
+    blocks = spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.size("entries")).alias("e"))
+    assert {tuple(r) for r in blocks.collect()} == {("rash", 5, 3), ("pain", 4, 2)}
+    assert "_text" not in spark.read.parquet(f"{root}/docs").columns
+    live = search_index._live(spark, root)
+    assert (live.n, live.length) == (5, 13)
+    # The text of c1 that three rows shared goes; what they counted for goes with it.
+    search_index.write_segment(spark.createDataFrame([("c1", "mild", "B")], SCHEMA), root, 1, cols=["drug"])
+    live = search_index._live(spark, root)
+    assert (live.n, live.length) == (2, 4)
+    gone = spark.read.parquet(f"{root}/dead_terms").select("term", "n").collect()
+    assert {tuple(r) for r in gone} == {("rash", 4), ("pain", 3)}
+
+
+def test_marks_pick_rows(spark):
+    numbers = [0, 5, 63, 64, 4095, 4096, (7 << 33) + 70, (1 << 40) + 4097]
+    texts = spark.createDataFrame([(s, n) for s in (0, 1) for n in numbers], "_segment int, _row bigint")
+    rows = [(0, 0), (0, 63), (1, 64), (1, 4096), (0, (7 << 33) + 70), (1, (1 << 40) + 4097), (1, 6)]
+    got = search_index._marked(texts, spark.createDataFrame(rows, "_segment int, _row bigint"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows[:-1])
+
+
+def test_shuffle_files_are_dropped_within_only(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with dropped_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+        df = spark.range(99).groupBy((F.col("id") % 7).alias("k")).count()
+        assert df.count() == len(df.collect()) == len(df.collect()) == 7
+    assert spark.conf.get(name, None) == before
+
+
+def test_reports_of_other_cases_are_left_out_before_they_are_joined(spark, tmp_path):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    frame([("c1", 1), ("c1", 2), ("c9", 1), (None, 1)], "case_id string, part int").write.parquet(f"{tmp_path}/lines")
+    frame([(1, "A"), (2, "B")], "part int, drug_name string").write.parquet(f"{tmp_path}/parts")
+    lines, parts = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("lines", "parts"))
+    absent = [F.lit(None).cast("string").alias(c) for c in ("ae_soc_class", "ae_term", "report_date")]
+    fact = lines.join(parts, "part").select("case_id", "drug_name", *absent)
+    texts = frame([("c1", "rash"), ("c2", "pain"), (None, "mild")], "case_id string, narrative_text string")
+    made = search.search_corpus(texts, fact, lines.select("case_id"))
+    assert {tuple(r)[:3] for r in made.collect()} == {("c1", "rash", "A"), ("c1", "rash", "B"), ("c2", "pain", None), (None, "mild", None)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    inner = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert "Join LeftSemi" in "".join(plan[inner + 1 :])
