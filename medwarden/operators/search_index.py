@@ -176,6 +176,7 @@ def write_segment(
     older rows whose key is among ``replaced`` (default: the keys of ``corpus``) go. Segments are
     numbered in ascending order from 0; the same number again, as in a retry, replaces the segment.
     ``base`` hides all older segments. Column names must not begin with an underscore.
+    ``corpus`` is read twice, for its texts and for its rows, and has to give the same rows each time.
     """
     spark = corpus.sparkSession
     out = list(dict.fromkeys([key, *cols]))
